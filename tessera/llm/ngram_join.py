@@ -5,7 +5,8 @@ that very many documents have come last, others by hash. Two sets of Jaccard sim
 shingle among the first n - ceil(t n) + 1 of each. Documents with equal sets are one class; classes
 with the same prefix and size are one group. Groups meet in the lists of their prefix shingles; lists
 of two groups or more are expanded to members, and pairs of members are filtered by size and by a
-bound on the symmetric difference (each differing shingle flips one bit of a 512-bit signature). What
+bound on the symmetric difference (each differing shingle flips one bit of a signature, which has more
+bits for larger sets). What
 passes is verified on the texts' whole sets.
 
 Only components are asked for, so a list doesn't emit all its pairs: from its first member on, those
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .core import LOWER, Stage, U, bloom, components, flat, mix, slices, thinned, whole_groups, word_shingles
 
 BLOCK = 8192
-SIG = 512
+SIG_BITS = (512, 1024, 2048, 4096)
 
 
 def prefix_length(n, percent: int):
@@ -110,37 +111,62 @@ def document_sets(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> D
             prefix, bounds = found[inside], np.concatenate([[0], np.cumsum(length)])
             total = np.concatenate([[U(0)], np.cumsum(mix(prefix ^ U(0x2545F4914F6CDD1D)))])
             group = mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(U))
-            odd = np.bincount(row * SIG + (found >> U(55)).astype(np.int64), minlength=rows.num_rows * SIG) & 1
-            sig = np.packbits(odd.astype(np.uint8)).tobytes()
-            width = SIG // 8
+            bits = sig_bits(n)
+            at = np.concatenate([[0], np.cumsum(bits)])
+            odd = np.bincount(at[row] + (found & (bits[row] - 1).astype(U)).astype(np.int64), minlength=at[-1]) & 1
+            sig = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd.astype(np.uint8), bitorder="little"))])
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(group.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(prefix.view(np.int64))), pa.array([sig[i * width : (i + 1) * width] for i in range(rows.num_rows)], pa.binary())],
+                [rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(group.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(prefix.view(np.int64))), sig],
                 names=["doc_id", "n", "d1", "d2", "gid", "prefix", "sig"],
             )
 
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, gid long, prefix array<long>, sig binary")
 
 
-def signatures(column: pa.ChunkedArray) -> np.ndarray:
-    data, _ = flat(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
-    return np.frombuffer(data.tobytes(), np.uint64).reshape(-1, SIG // 64)
-
-
-def _pass(n, sig, i, j, percent: int) -> np.ndarray:
-    a, b = n[i], n[j]
-    out = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-    differ = np.bitwise_count(sig[i] ^ sig[j]).sum(-1, dtype=np.int64)
-    return out & (differ <= allowed_difference(a + b, percent))
-
-
-def reach(n: np.ndarray, sig: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of positions that pass and join all that passing pairs can join: breadth first."""
-    left, out = np.arange(len(n)), []
+def sig_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the signature of a set of n: the least of SIG_BITS that is n or more, or the last."""
+    return np.array(SIG_BITS)[np.minimum(np.searchsorted(SIG_BITS, n), len(SIG_BITS) - 1)]
+
+
+class Signatures:
+    """Signatures of a table's rows. Sets of similar size have the same number of bits or one half
+    of the other's, which is then folded."""
+
+    def __init__(self, n: np.ndarray, column: pa.ChunkedArray):
+        data, _ = flat(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))
+        self.n, self.bits = n, sig_bits(n)
+        at = np.concatenate([[0], np.cumsum(self.bits // 8)])
+        self.at = {b: np.full(len(n), -1) for b in SIG_BITS}
+        self.rows = {}
+        for b in SIG_BITS:
+            own, wide = np.flatnonzero(self.bits == b), np.flatnonzero(self.bits == 2 * b)
+            take = lambda which, b: data[at[which][:, None] + np.arange(b // 8)].reshape(len(which), b // 8).view(np.uint64)
+            folded = take(wide, 2 * b)
+            self.rows[b] = np.concatenate([take(own, b), folded[:, : b // 64] ^ folded[:, b // 64 :]])
+            self.at[b][own], self.at[b][wide] = np.arange(len(own)), len(own) + np.arange(len(wide))
+
+    def pass_on(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether each pair of rows (i, j) can be similar, by sizes and signatures."""
+        a, b = self.n[i], self.n[j]
+        out = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        which = np.flatnonzero(out)
+        common = np.minimum(self.bits[i[which]], self.bits[j[which]])
+        for bits in np.unique(common).tolist():
+            some = which[common == bits]
+            x, y = self.rows[bits][self.at[bits][i[some]]], self.rows[bits][self.at[bits][j[some]]]
+            out[some] = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) <= allowed_difference(a[some] + b[some], percent)
+        return out
+
+
+def reach(sigs: Signatures, first: int, size: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows of [first, first + size) that pass and join all that passing pairs can join:
+    breadth first."""
+    left, out = np.arange(first, first + size), []
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             i = front.pop()
-            ok = _pass(n, sig, np.full(len(left), i), left, percent)
+            ok = sigs.pass_on(np.full(len(left), i), left, percent)
             out += [(i, int(j)) for j in left[ok]]
             front += left[ok].tolist()
             left = left[~ok]
@@ -154,7 +180,7 @@ def candidate_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
     def run(batches):
         for table in whole_groups(batches, ["token", "blk"]):
             token, blk, cls, n, comp = (table[c].to_numpy() for c in ("token", "blk", "cls", "n", "comp"))
-            sig = signatures(table["sig"])
+            sigs = Signatures(n, table["sig"])
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (blk[1:] != blk[:-1])
             first = np.flatnonzero(new)
@@ -167,17 +193,17 @@ def candidate_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
                 if not len(i):
                     break
                 i = i[comp[i] != comp[i + d]]
-                i = i[_pass(n, sig, i, i + d, percent)]
+                i = i[sigs.pass_on(i, i + d, percent)]
                 pairs.append(np.stack([cls[i], cls[i + d]], 1))
             for f, s in zip(first[size > 9].tolist(), size[size > 9].tolist()):
                 if every:
                     for i in range(f, f + s - 1):
                         j = np.arange(i + 1, f + s)
                         j = j[comp[j] != comp[i]]
-                        j = j[_pass(n, sig, np.full(len(j), i), j, percent)]
+                        j = j[sigs.pass_on(np.full(len(j), i), j, percent)]
                         pairs.append(np.stack([np.full(len(j), cls[i]), cls[j]], 1))
-                elif found := reach(n[f : f + s], sig[f : f + s], percent):
-                    pairs.append(cls[f + np.array(found)])
+                elif found := reach(sigs, f, s, percent):
+                    pairs.append(cls[np.array(found)])
             if pairs and len(found := np.concatenate(pairs)):
                 found = np.unique(np.sort(found, axis=1), axis=0)
                 found = found[found[:, 0] != found[:, 1]]
@@ -223,22 +249,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, percent:
     stage = Stage(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sets = stage.write(document_sets(docs, k, percent, frequent(docs, k, heavy)), "sets")
-    classes = stage.write(sets.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cls"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig")), "classes")
-    groups = classes.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    posting = groups.select("gid", F.explode("prefix").alias("token"))
+    own = sets.where("n > 0 and doc_id is not null")
+    classes = stage.write(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cls"), F.first("gid").alias("gid"), F.first("sig").alias("sig")), "classes")
+    posting = own.groupBy("gid").agg(F.first("prefix").alias("prefix")).select("gid", F.explode("prefix").alias("token"))
     # shingles that one group has are of no use: a look at the next row of each sorted list
     beside = Window.partitionBy("token").orderBy("gid")
     met = posting.withColumn("before", F.lag("gid").over(beside)).withColumn("after", F.lead("gid").over(beside)).where("before is not null or after is not null").select("token", "gid")
-    member = classes.select("gid", "cls", "n", "sig")
-    within = groups.where("members > 1").select(F.xxhash64("gid").alias("token"), "gid")
-    lists = stage.write(met.unionByName(within).join(member, "gid").select("token", "cls", "n", "sig"), "lists")
+    within = classes.groupBy("gid").agg(F.count("*").alias("members")).where("members > 1").select(F.xxhash64("gid").alias("token"), "gid")
+    lists = stage.write(met.unionByName(within).join(classes.select("gid", "cls", "n"), "gid").select("token", "cls", "n"), "lists")
     long = stage.write(lists.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "long")
     any_long = not long.isEmpty()
     if any_long:
         split = lists.join(long, "token", "left").withColumn("blk", F.when(F.col("size").isNotNull(), F.pmod(F.xxhash64("token", "cls"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0)).cast("long")).drop("size")
     else:
         split = lists.withColumn("blk", F.lit(0).cast("long"))
-    dealt = split.withColumn("comp", F.col("cls")).repartition("token", "blk").sortWithinPartitions("token", "blk", "cls")
+    sigs = classes.select("cls", "n", "sig")
+    dealt = split.join(sigs, ["cls", "n"]).withColumn("comp", F.col("cls")).repartition("token", "blk").sortWithinPartitions("token", "blk", "cls")
     pairs = stage.write(candidate_pairs(dealt, percent, every=False), "pairs")
     judged = stage.write(verify(docs, pairs, k, percent), "judged")
     stage.drop("pairs")
@@ -252,12 +278,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, percent:
             dirty = dirty.unionByName(lists.join(long, "token", "left_semi").select("cls"))
         dirty = stage.write(dirty.distinct(), "dirty")
         again = lists.join(dirty, "cls").join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-        again = stage.write(again.select("token", "cls", "n", "sig", "comp"), "again")
+        again = stage.write(again.select("token", "cls", "n", "comp"), "again")
         share = again.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("size"), F.count("*").alias("comps")).where("comps > 1")
         blocks = F.ceil(F.col("size") / BLOCK).cast("long")
         where = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("token", "cls"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
-        split = again.join(share, "token").withColumn("blk", F.explode(where)).select("token", "blk", "cls", "n", "comp", "sig")
-        more = candidate_pairs(split.repartition("token", "blk").sortWithinPartitions("token", "blk", "cls"), percent, every=True)
+        split = again.join(share, "token").withColumn("blk", F.explode(where)).select("token", "blk", "cls", "n", "comp")
+        more = candidate_pairs(split.join(sigs, ["cls", "n"]).repartition("token", "blk").sortWithinPartitions("token", "blk", "cls"), percent, every=True)
         more = stage.write(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             links = links.unionByName(stage.write(verify(docs, more, k, percent), "judged-again").where("linked").select("a", "b"))
