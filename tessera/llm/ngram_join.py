@@ -9,7 +9,8 @@ bound on the symmetric difference (each differing shingle flips one bit of a sig
 bits for larger sets). What
 passes is verified on the texts' whole sets.
 
-Only components are asked for, so a list doesn't emit all its pairs: from its first member on, those
+Lists of few members emit all their passing pairs. As only components are asked for, longer ones
+don't: from the first member on, those
 not yet reached are compared with each member reached, and the pairs that reach a new member are
 emitted. If all of them verify, no other pair can join two components. Where one fails, or a list was
 long and split in blocks, a second round emits every pair that passes between two components (long
@@ -30,12 +31,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import LOWER, Stage, U, bloom, components, flat, mix, slices, thinned, whole_groups, word_shingles
 
 BLOCK = 8192
+FEW = 9
 SIG_BITS = (512, 1024, 2048, 4096)
 
 
@@ -84,13 +87,14 @@ def frequent(docs: DataFrame, k: int, heavy: float) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
-    """For each document the size, digest, prefix, group id and signature of its set."""
+    """For each document the size, digest, prefix, group id and signature of its set; the prefix of
+    a group is there once from each task, and empty in the group's other rows."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         order = shared.value
         by_hash = np.argsort(order)
-        known = order[by_hash]
+        known, seen = order[by_hash], set()
         for rows, data, offsets in slices(batches, "text"):
             row, found = shingle_sets(data, offsets, k)
             rank = np.zeros(len(found), np.int64)
@@ -107,10 +111,16 @@ def document_sets(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> D
                 total = np.concatenate([[U(0)], np.cumsum(mix(found ^ U(salt)))])
                 sums.append(total[first[1:]] - total[first[:-1]])
             length = np.where(n > 0, prefix_length(n, percent), 0)
-            inside = np.arange(len(found)) - np.repeat(first[:-1], n) < np.repeat(length, n)
-            prefix, bounds = found[inside], np.concatenate([[0], np.cumsum(length)])
+            within = np.arange(len(found)) - np.repeat(first[:-1], n)
+            prefix, bounds = found[within < np.repeat(length, n)], np.concatenate([[0], np.cumsum(length)])
             total = np.concatenate([[U(0)], np.cumsum(mix(prefix ^ U(0x2545F4914F6CDD1D)))])
             group = mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(U))
+            for r, (g, there) in enumerate(zip(group.tolist(), pc.is_valid(rows.column("doc_id")).to_pylist())):
+                if g in seen:  # a group's prefix once from each task
+                    length[r] = 0
+                elif there:
+                    seen.add(g)
+            prefix, bounds = found[within < np.repeat(length, n)], np.concatenate([[0], np.cumsum(length)])
             bits = sig_bits(n)
             at = np.concatenate([[0], np.cumsum(bits)])
             odd = np.bincount(at[row] + (found & (bits[row] - 1).astype(U)).astype(np.int64), minlength=at[-1]) & 1
@@ -185,17 +195,8 @@ def candidate_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
             new[1:] = (token[1:] != token[:-1]) | (blk[1:] != blk[:-1])
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(token)))
-            run_size, within = np.repeat(size, size), np.arange(len(token)) - np.repeat(first, size)
             pairs = []
-            small = run_size <= 9
-            for d in range(1, 9):
-                i = np.flatnonzero(small & (within + d < run_size))
-                if not len(i):
-                    break
-                i = i[comp[i] != comp[i + d]]
-                i = i[sigs.pass_on(i, i + d, percent)]
-                pairs.append(np.stack([cls[i], cls[i + d]], 1))
-            for f, s in zip(first[size > 9].tolist(), size[size > 9].tolist()):
+            for f, s in zip(first.tolist(), size.tolist()):
                 if every:
                     for i in range(f, f + s - 1):
                         j = np.arange(i + 1, f + s)
@@ -212,6 +213,25 @@ def candidate_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
     return lists.select("token", "blk", "cls", "n", "comp", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
+def pairs_of_few(lists: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The passing pairs of lists (token, cls, n) of few members; signatures are joined to distinct
+    pairs, not to list rows."""
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            n = np.concatenate([table["na"].to_numpy(), table["nb"].to_numpy()])
+            sigs = Signatures(n, pa.chunked_array([*table["sig_a"].chunks, *table["sig_b"].chunks]))
+            i = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(sigs.pass_on(i, i + batch.num_rows, percent)))
+
+    x, y = lists.select("token", F.col("cls").alias("a"), F.col("n").alias("na")), lists.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"))
+    near = x.join(y, "token").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
+    with_a = near.join(sigs.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sig_a")), ["a", "na"])
+    both = with_a.join(sigs.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sig_b")), ["b", "nb"])
+    return both.select("a", "b", "na", "nb", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, linked): pairs of doc_ids, judged on the whole sets of their texts."""
 
@@ -251,21 +271,21 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, percent:
     sets = stage.write(document_sets(docs, k, percent, frequent(docs, k, heavy)), "sets")
     own = sets.where("n > 0 and doc_id is not null")
     classes = stage.write(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cls"), F.first("gid").alias("gid"), F.first("sig").alias("sig")), "classes")
-    posting = own.groupBy("gid").agg(F.first("prefix").alias("prefix")).select("gid", F.explode("prefix").alias("token"))
-    # shingles that one group has are of no use: a look at the next row of each sorted list
+    posting = own.select("gid", F.explode("prefix").alias("token"))
+    # shingles that one group has are of no use: a look at the rows beside each of a sorted list
     beside = Window.partitionBy("token").orderBy("gid")
-    met = posting.withColumn("before", F.lag("gid").over(beside)).withColumn("after", F.lead("gid").over(beside)).where("before is not null or after is not null").select("token", "gid")
+    met = posting.withColumn("before", F.lag("gid").over(beside)).withColumn("after", F.lead("gid").over(beside)).where("before <> gid or after <> gid").select("token", "gid").dropDuplicates()
     within = classes.groupBy("gid").agg(F.count("*").alias("members")).where("members > 1").select(F.xxhash64("gid").alias("token"), "gid")
-    lists = stage.write(met.unionByName(within).join(classes.select("gid", "cls", "n"), "gid").select("token", "cls", "n"), "lists")
-    long = stage.write(lists.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "long")
-    any_long = not long.isEmpty()
-    if any_long:
-        split = lists.join(long, "token", "left").withColumn("blk", F.when(F.col("size").isNotNull(), F.pmod(F.xxhash64("token", "cls"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0)).cast("long")).drop("size")
-    else:
-        split = lists.withColumn("blk", F.lit(0).cast("long"))
+    lists = met.unionByName(within).join(classes.select("gid", "cls", "n"), "gid").select("token", "cls", "n")
+    lists = stage.write(lists.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1"), "lists")
+    any_long = not lists.where(F.col("size") > BLOCK).isEmpty()
     sigs = classes.select("cls", "n", "sig")
-    dealt = split.join(sigs, ["cls", "n"]).withColumn("comp", F.col("cls")).repartition("token", "blk").sortWithinPartitions("token", "blk", "cls")
-    pairs = stage.write(candidate_pairs(dealt, percent, every=False), "pairs")
+    # lists of many: each member's signature goes along; long ones are split in blocks
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    many = lists.where(F.col("size") > FEW).withColumn("blk", F.pmod(F.xxhash64("token", "cls"), blocks)).withColumn("comp", F.col("cls"))
+    dealt = many.join(sigs, ["cls", "n"]).repartition("token", "blk").sortWithinPartitions("token", "blk", "cls")
+    pairs = candidate_pairs(dealt, percent, every=False).unionByName(pairs_of_few(lists.where(F.col("size") <= FEW), sigs, percent))
+    pairs = stage.write(pairs.distinct(), "pairs")
     judged = stage.write(verify(docs, pairs, k, percent), "judged")
     stage.drop("pairs")
     links = judged.where("linked").select("a", "b")
@@ -275,9 +295,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, percent:
         maybe = components(stage, judged.select("a", "b"), "maybe")
         dirty = maybe.join(maybe.join(failed, F.col("id") == F.col("a")).select("component").distinct(), "component", "left_semi").select(F.col("id").alias("cls"))
         if any_long:
-            dirty = dirty.unionByName(lists.join(long, "token", "left_semi").select("cls"))
+            dirty = dirty.unionByName(lists.where(F.col("size") > BLOCK).select("cls"))
         dirty = stage.write(dirty.distinct(), "dirty")
-        again = lists.join(dirty, "cls").join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+        again = lists.select("token", "cls", "n").join(dirty, "cls").join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
         again = stage.write(again.select("token", "cls", "n", "comp"), "again")
         share = again.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("size"), F.count("*").alias("comps")).where("comps > 1")
         blocks = F.ceil(F.col("size") / BLOCK).cast("long")
@@ -288,7 +308,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, percent:
         if not more.isEmpty():
             links = links.unionByName(stage.write(verify(docs, more, k, percent), "judged-again").where("linked").select("a", "b"))
             found = components(stage, links, "all-links")
-    stage.drop("lists", "again", "long", "dirty")
+    stage.drop("lists", "again", "dirty")
     of_class = classes.select("n", "d1", "d2", "cls").join(found.withColumnRenamed("id", "cls"), "cls", "left").select("n", "d1", "d2", "cls", F.coalesce("component", "cls").alias("component"))
     out = sets.select("doc_id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
