@@ -14,9 +14,16 @@ from ..functions import text as tx
 K, LEAST = 4, 6
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a small input lies in fewer partitions; else as they are, so a
+    large input's texts are never shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def grams(texts: DataFrame, spec: tx.NormSpec = tx.ARABIC, k: int = K) -> DataFrame:
     """(id, pos, gram), positions from 0."""
-    return texts.select("id", F.posexplode(tx.grams(tx.tokens(tx.norm(F.col("text"), spec)), k)).alias("pos", "gram"))
+    return spread(texts.select("id", "text")).select("id", F.posexplode(tx.grams(tx.tokens(tx.norm(F.col("text"), spec)), k)).alias("pos", "gram"))
 
 
 def corpus_grams(corpus: DataFrame, spec: tx.NormSpec = tx.ARABIC, k: int = K) -> DataFrame:
