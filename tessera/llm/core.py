@@ -18,7 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+BATCH_ROWS = 2000
 U = np.uint64
 
 
@@ -41,6 +42,9 @@ class Stage:
     executor costs no more than the tasks it ran."""
 
     def __init__(self, spark: SparkSession, name: str):
+        # texts reach Python in batches; of documents, 10,000 rows of default size are too many bytes
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def write(self, df: DataFrame, name: str, **options) -> DataFrame:
