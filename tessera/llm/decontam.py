@@ -183,7 +183,7 @@ def nearest(pattern: bytes, text: bytes, masks: dict[int, int] | None = None) ->
     return distance, end - back, end
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = 0.8, repetitions: int = 3, steps: int = 32, sampled: int = 14, block: int = 4096) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = 0.8, repetitions: int = 3, steps: int = 48, sampled: int = 20, block: int = 4096) -> DataFrame:
     """(doc_id, item_id, distance, similarity, start, stop) for each document and item whose best
     window has an edit similarity 1 - distance / item length from ``similarity`` on; start and stop
     are byte offsets in the document's text. The best window is the one of least distance; lengths
