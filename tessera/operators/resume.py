@@ -19,12 +19,14 @@ def blank_or_error(answer: Column) -> Column:
 def todo(items: DataFrame, done: DataFrame, policy: str = "any", key: str = "id") -> DataFrame:
     """Items not done. any: an id that is there is done; drop_errors: error answers are done again;
     blank_or_error: blank ones too; missing_label: without a category; typology: without spans or
-    with an error, unless the header says complete (column ``complete``)."""
+    with an error, unless the header says complete (column ``complete``); typology_retry: whatever the
+    header says, so that failures of a complete run are done again."""
     finished = {
         "any": lambda d: d,
         "drop_errors": lambda d: d.where(~is_error(F.col("answer"))),
         "blank_or_error": lambda d: d.where(~blank_or_error(F.col("answer"))),
         "missing_label": lambda d: d.where("category is not null"),
+        "typology_retry": lambda d: d.where("has_spans and coalesce(error, '') = ''"),
         "typology": lambda d: d.where("complete or (has_spans and coalesce(error, '') = '')"),
     }[policy](done)
     return items.join(finished.select(key), key, "left_anti")

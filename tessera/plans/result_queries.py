@@ -141,7 +141,7 @@ def _todo(policy):
     return run
 
 
-for _name, _policy, _keep in (("resume_any", "any", "true"), ("resume_drop_errors", "drop_errors", "answer NOT LIKE 'ERROR%'"), ("todo_blank_or_error", "blank_or_error", "trim(answer) <> '' AND answer NOT LIKE 'ERROR%'"), ("resume_missing_label", "missing_label", "category IS NOT NULL"), ("resume_typology", "typology", "has_spans AND coalesce(error, '') = ''")):
+for _name, _policy, _keep in (("resume_any", "any", "true"), ("resume_drop_errors", "drop_errors", "answer NOT LIKE 'ERROR%'"), ("todo_blank_or_error", "blank_or_error", "trim(answer) <> '' AND answer NOT LIKE 'ERROR%'"), ("resume_missing_label", "missing_label", "category IS NOT NULL"), ("resume_typology", "typology", "has_spans AND coalesce(error, '') = ''"), ("retry_failed", "typology_retry", "has_spans AND coalesce(error, '') = ''")):
     _f = _todo(_policy)
     _f.__name__ = _name
     query(f"WITH {_TURNS} SELECT id, text FROM u WHERE id NOT IN (SELECT id FROM an WHERE {_keep})")(_f)
