@@ -8,6 +8,7 @@ looks at a prefix of a text, and memory is bounded by ``SLICE_BYTES`` plus the l
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 19
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 U = np.uint64
 
 
@@ -42,9 +44,11 @@ class Stage:
     executor costs no more than the tasks it ran."""
 
     def __init__(self, spark: SparkSession, name: str):
-        # texts reach Python in batches; of documents, 10,000 rows of default size are too many bytes
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        # texts reach Python in batches; by default, of up to 10,000 rows or 64 MB
+        for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+            held = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
+            if held <= 0 or held > most:
+                spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def write(self, df: DataFrame, name: str, **options) -> DataFrame:
@@ -63,6 +67,16 @@ class Stage:
 # ---------------------------------------------------------------- bytes and slices
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on after a task, beside other tasks' workers."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of rows of at most ``limit`` text bytes, or of one longer
     row. A null text counts as empty."""
@@ -76,6 +90,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = min(stop, batch.num_rows)
             yield batch.slice(start, stop - start), data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
             start = stop
+        del batch, data
+        give_back()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -231,9 +247,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         last = n - int(np.argmax(other[::-1])) if other.any() else 0
         if last:
             yield table.slice(0, last).combine_chunks()
-        held, n = table.slice(last).to_batches(), n - last
+        held, n = table.slice(last).combine_chunks().to_batches(), n - last
+        del table
+        give_back()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    give_back()
 
 
 # ---------------------------------------------------------------- components
