@@ -55,6 +55,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return word_shingles(LOWER[data], offsets, k)
 
 
+def met_often(found: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(values, counts) of those met ``least`` times or more. Sorts ``found`` in place: beside it,
+    there is a byte for each of its values."""
+    found.sort()
+    apart = max(1, int(np.ceil(least))) - 1
+    values = np.unique(found[: max(0, len(found) - apart)][found[: max(0, len(found) - apart)] == found[apart:]])
+    return values, np.searchsorted(found, values, "right") - np.searchsorted(found, values, "left")
+
+
 def frequent(docs: DataFrame, k: int, heavy: float) -> np.ndarray:
     """Hashes of frequent shingles, rarest first. Each task counts blocks of 4M shingles and tells
     those in at least ``heavy`` of the block's documents (4 at least); a shingle of the corpus's
@@ -64,9 +73,10 @@ def frequent(docs: DataFrame, k: int, heavy: float) -> np.ndarray:
         held, n, size = [], 0, 0
 
         def told():
-            values, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U), np.empty(0, np.int64))
-            often = count >= max(4, heavy * n)
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(count[often].astype(np.int64)), pa.array(np.full(often.sum(), False))], names=["h", "n", "total"])
+            found = np.concatenate(held) if held else np.empty(0, U)
+            held.clear()
+            values, count = met_often(found, max(4, heavy * n))
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(np.full(len(values), False))], names=["h", "n", "total"])
 
         for rows, data, offsets in slices(batches, "text"):
             _, found = shingle_sets(data, offsets, k)

@@ -293,3 +293,12 @@ def test_language_of_held_out_and_mixed(spark):
     assert all(0 <= s <= 1 for _, s in got.values()) and got[6][1] < 0.98
     nothing = langid.train(frame.where("false"))
     assert {r.lang_pred for r in langid.predict(test, nothing).collect()} == {"und"}
+
+
+def test_met_often_is_a_count_of_all_values():
+    rng = np.random.default_rng(3)
+    for size, least in ((0, 4), (1, 1), (3, 4), (500, 4), (500, 7.5), (500, 1), (20, 600)):
+        found = rng.integers(0, 60, size, dtype=np.uint64) << np.uint64(58)
+        values, count = np.unique(found, return_counts=True)
+        got = ngram_join.met_often(found.copy(), least)
+        assert [x.tolist() for x in got] == [values[count >= least].tolist(), count[count >= least].tolist()]
