@@ -1,16 +1,16 @@
 """Benchmark decontamination (1): passages of benchmark items in documents, edits included.
 
-Method. Texts are lower-cased (A-Z) with white space folded. The CGK embedding (Chakraborty,
-Goldenberg, Koucky 2016) walks a string with random steps shared by all strings, so that few edits
-give few differing symbols. Bit sampling: each repetition has a walk of its own and a key of some of
-its symbols. The walks start at every word of every document and of every item; documents' keys that
-an item has too propose the item-sized window around, aligned to where the item's word stands. A
-window with one or more proposals is verified by exact edit distance (bit-parallel, Myers 1999)
-against the item; it is a leak from ``similarity`` on. Any of an item's words may meet, in any
-repetition: recall is measured against brute force in the tests.
+Method. Texts are lower-cased (A-Z) with white space folded. An edit destroys at most q of an
+item's q-grams, so a window within k edits of an item of m bytes has m - q + 1 - q k of them at least,
+on neighbouring diagonals (place in the text less place in the item) that are at most k apart (the
+q-gram lemma; Rasmussen, Stoye and Myers 2006). Grams start at every byte, so spaces don't matter. The
+grams that a text shares with an item are counted by diagonal; the stretches with enough of them are
+searched by edit distance (bit-parallel, Myers 1999). No window within the threshold is passed over:
+the result is that of brute force. q is 4, or less for short items and low thresholds.
 
 Scale. One pass over the documents for each block of ``block`` items; items are the stated query set
-and reach executors in blocks of bounded size. Nothing is shuffled.
+and reach executors in blocks of bounded size. Work grows with the grams that texts and items share.
+Texts are counted in overlapping chunks, so memory is bounded. Nothing is shuffled.
 
 Defined cases. Null or empty texts and items: no leak. Items shorter than 12 characters leak only
 where they stand exactly. Repeated rows: a result each. Ties: the leftmost window of least
@@ -19,6 +19,9 @@ distance. Only the named columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,100 +55,154 @@ def fold_text(text: str) -> bytes:
     return fold(raw, np.array([0, len(raw)]))[0].tobytes()
 
 
-class Walks:
-    """The repetitions' walks and sampled positions; short items have a shorter walk."""
-
-    def __init__(self, repetitions: int, steps: int, sampled: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (repetitions, steps, 256)).astype(np.int32)
-        early = max(4, sampled * 3 // 8)  # so many of the sampled positions lie in the first third
-        self.third = steps * 3 // 8
-        self.samples = [np.zeros(steps, bool) for _ in range(repetitions)]
-        for chosen in self.samples:
-            chosen[rng.choice(self.third, early, replace=False)] = True
-            chosen[self.third + rng.choice(steps - self.third, sampled - early, replace=False)] = True
-
-    def keys(self, data: np.ndarray, starts: np.ndarray, r: int, early=None) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, key) for those starts that pass ``early`` (on the key's first part). ``data``
-        must go on for the number of steps after the last start."""
-        at, key = starts.astype(np.int32), np.zeros(len(starts), U)
-        for j in range(self.moves.shape[1]):
-            if j == self.third and early is not None:
-                pass_on = early(key)
-                starts, at, key = starts[pass_on], at[pass_on], key[pass_on]
-            symbol = data[at]
-            if self.samples[r][j]:
-                key = key * U(0x9FB21C651E98DF25) + symbol + U(1)
-            at = at + self.moves[r, j][symbol]
-        return starts, mix(key)
-
-    def first_part(self, data: np.ndarray, starts: np.ndarray, r: int) -> np.ndarray:
-        at, key = starts.astype(np.int32), np.zeros(len(starts), U)
-        for j in range(self.third):
-            symbol = data[at]
-            if self.samples[r][j]:
-                key = key * U(0x9FB21C651E98DF25) + symbol + U(1)
-            at = at + self.moves[r, j][symbol]
-        return key
-
-
-GATE = 22
-
-
-def _gate(key: np.ndarray) -> np.ndarray:
-    return (mix(key) >> U(64 - GATE)).astype(np.int64)
-
-
-def word_starts(data: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((data != 32) & np.concatenate([[True], data[:-1] == 32])) if len(data) else np.empty(0, np.int64)
+def gram_size(length: int, slack: int) -> int:
+    """The longest grams, of at most four bytes, of which a match must keep a fair share."""
+    return next((q for q in (4, 3, 2) if kept_grams(length, slack, q) >= 0.15 * length), 1)
+
+
+def kept_grams(length: int, slack: int, q: int) -> int:
+    """So many of an item's grams at least stand in any window within ``slack`` edits of it."""
+    return length - q + 1 - q * slack
+
+
+def _buckets(data: np.ndarray, q: int) -> np.ndarray:
+    n = len(data) - q + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    key = np.zeros(n, U)
+    for i in range(q):
+        key = key * U(0x9FB21C651E98DF25) + data[i : n + i] + U(1)
+    return (mix(key) >> U(64 - BUCKETS)).astype(np.int64)
+
+
+BUCKETS, BIN, CHUNK, HITS, MARKS = 18, 16, 1 << 14, 1 << 19, 1 << 24
+
+
+class Group:
+    """The grams of items of like length, in lists by their hash: equal grams meet, and others that
+    share a hash only raise counts."""
+
+    def __init__(self, numbers: list[int], texts: list[bytes], slacks: list[int], q: int):
+        self.numbers, self.q = np.array(numbers), q
+        self.size, self.slack = np.array([len(t) for t in texts]), np.array(slacks)
+        self.least = kept_grams(self.size, self.slack, q)
+        self.longest = int(self.size.max())
+        self.reach = int((self.size + self.slack).max())
+        self.chunk = max(CHUNK, 4 * self.longest)
+        self.wide = (self.slack + BIN - 1) // BIN + 1  # bins that slack + 1 diagonals may lie in
+        self.bins = (self.chunk + self.reach + self.longest) // BIN + 4  # room for a stretch after the last
+        bucket = [_buckets(np.frombuffer(t, np.uint8), q) for t in texts]
+        kind = np.int32 if len(texts) * self.bins * BIN < 1 << 31 else np.int64
+        place = np.concatenate([np.arange(len(x), dtype=kind) for x in bucket])
+        shift = np.repeat(np.arange(len(texts)) * self.bins * BIN + self.longest, [len(x) for x in bucket]) - place
+        bucket = np.concatenate(bucket)
+        order = np.argsort(bucket, kind="stable")
+        self.first = np.searchsorted(bucket[order], np.arange((1 << BUCKETS) + 1)).astype(kind)
+        self.place, self.shift = place[order], shift[order].astype(kind)
+
+    def hits(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(cell, place in the item) of the grams that ``data`` and an item share, some at a time. A
+        cell is an item and a bin of ``BIN`` diagonals: place in data less place in the item."""
+        bucket = _buckets(data, self.q)
+        n = self.first[bucket + 1] - self.first[bucket]
+        at = np.flatnonzero(n).astype(self.shift.dtype)
+        low, n = self.first[bucket][at], n[at]
+        ends, i = np.cumsum(n, dtype=np.int64), 0
+        while i < len(at):
+            done = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, done + HITS, "right")))
+            entry = np.repeat(low[i:j] - (ends[i:j] - n[i:j] - done).astype(low.dtype), n[i:j])
+            entry += np.arange(len(entry), dtype=entry.dtype)
+            cell = self.shift[entry]
+            cell += np.repeat(at[i:j], n[i:j])
+            cell >>= BIN.bit_length() - 1
+            yield cell, self.place[entry]
+            i = j
+
+    def regions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, start, stop) of the stretches of ``data`` that hold every window within an item's
+        slack: bins of neighbouring diagonals with as many grams as such a window must keep."""
+        out, most = [np.empty((3, 0), np.int64)], int(self.wide.max())
+        for begin in range(0, len(data), self.chunk):
+            part = data[begin : begin + self.chunk + self.reach]
+            hits = self.hits(part)
+            held = list(islice(hits, 2))
+            counts = np.zeros(len(self.size) * self.bins, np.int64)
+            for cell, _ in chain(held, hits):
+                counts += np.bincount(cell, minlength=len(counts))
+            sums = np.cumsum(np.pad(counts.reshape(-1, self.bins), ((0, 0), (1, most))), axis=1)
+            near = np.zeros((len(self.size), self.bins), bool)
+            for wide in np.unique(self.wide):
+                own = np.flatnonzero(self.wide == wide)
+                near[own] = sums[own, wide : wide + self.bins] - sums[own, : self.bins] >= self.least[own, None]
+            # windows that begin in this chunk
+            bin_start = np.arange(self.bins) * BIN - self.longest
+            near &= (bin_start < self.chunk) & (bin_start + self.wide[:, None] * BIN > 0)
+            found = np.flatnonzero(near)
+            step = max(1, MARKS // self.longest)
+            for k in range(0, len(found), step):
+                some = found[k : k + step]
+                some = some[self.places(some, held if len(held) < 2 else self.hits(part)) >= self.least[some // self.bins]]
+                n, start = some // self.bins, begin + some % self.bins * BIN - self.longest
+                out.append(np.stack([self.numbers[n], start, start + self.wide[n] * BIN + self.size[n]]))
+        return tuple(np.concatenate(out, axis=1))
+
+    def places(self, cells: np.ndarray, hits: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """How many different places of the item have a gram in the bins from each of ``cells`` on: a
+        gram that the text repeats counts once."""
+        wide, total = self.wide[cells // self.bins], len(self.size) * self.bins
+        number, held = np.full(total, -1, np.int32), np.zeros(total, bool)
+        number[cells] = np.arange(len(cells))
+        for k in range(int(wide.max())):
+            held[cells[wide > k] + k] = True
+        marks = np.zeros(len(cells) * self.longest, bool)
+        for cell, place in hits:
+            own = np.flatnonzero(held[cell])
+            cell, place = cell[own], place[own]
+            for k in range(int(wide.max())):
+                r = number[cell - k]  # an item's last bins begin no stretch
+                ok = np.flatnonzero(r >= 0)
+                r = r[ok].astype(np.int64)
+                ok, r = ok[wide[r] > k], r[wide[r] > k]
+                marks[r * self.longest + place[ok]] = True
+        return marks.reshape(len(cells), self.longest).sum(1)
 
 
 class Items:
-    """The embedded words of a block of items: for each repetition, keys and where they stand."""
+    """A block of items: folded texts, and the grams of those that are searched with edits."""
 
-    def __init__(self, items: list[tuple[int, str]], walks: Walks):
-        self.walks = walks
+    def __init__(self, items: list[tuple[int, str]], similarity: float):
         folded = [(i, fold_text(t)) for i, t in items]
         self.texts = [(i, t) for i, t in folded if t]
         self.short = [n for n, (_, t) in enumerate(self.texts) if len(t) < 12]
-        steps = walks.moves.shape[1]
-        self.keys, self.item, self.at, self.gates = [], [], [], []
-        for r in range(len(walks.samples)):
-            keys, item, at, gate = [], [], [], np.zeros(1 << GATE, bool)
-            for n, (_, t) in enumerate(self.texts):
-                if len(t) < 12:
-                    continue
-                padded = np.concatenate([np.frombuffer(t, np.uint8), np.zeros(steps + 1, np.uint8)])
-                starts = word_starts(padded[: len(t)])
-                inside = starts[starts + min(steps * 5 // 8, len(t)) <= len(t)]
-                inside = inside if len(inside) else starts[:1]
-                gate[_gate(walks.first_part(padded, inside, r))] = True
-                _, k = walks.keys(padded, inside, r)
-                keys.append(k)
-                item.append(np.full(len(k), n))
-                at.append(inside)
-            keys = np.concatenate(keys) if keys else np.empty(0, U)
-            order = np.argsort(keys, kind="stable")
-            self.keys.append(keys[order])
-            self.item.append(np.concatenate(item)[order] if item else np.empty(0, np.int64))
-            self.at.append(np.concatenate(at)[order] if at else np.empty(0, np.int64))
-            self.gates.append(gate)
-
-    def proposals(self, data: np.ndarray) -> np.ndarray:
-        """Rows (start in data, item, start in item), distinct."""
-        steps = self.walks.moves.shape[1]
-        padded = np.concatenate([data, np.zeros(steps + 1, np.uint8)])
-        starts, out = word_starts(data), []
-        for r, keys in enumerate(self.keys):
-            if not len(keys):
+        self.slack = [int((1 - similarity) * len(t) + 1e-9) for _, t in self.texts]
+        alike: dict[tuple[int, int], list[int]] = {}
+        for n, (_, t) in enumerate(self.texts):
+            if len(t) >= 12:
+                alike.setdefault((gram_size(len(t), self.slack[n]), len(t).bit_length()), []).append(n)
+        self.groups = [Group(own, [self.texts[n][1] for n in own], [self.slack[n] for n in own], q) for (q, _), own in sorted(alike.items())]
+
+    def stretches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, start, stop), in order: overlapping regions merged, cut where rows end."""
+        out = []
+        for group in self.groups:
+            item, start, stop = group.regions(data)
+            order = np.lexsort((start, item))
+            item, start, stop = item[order], start[order], stop[order]
+            if not len(item):
                 continue
-            gate = self.gates[r]
-            at, key = self.walks.keys(padded, starts, r, lambda k, gate=gate: gate[_gate(k)])
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = high - low
-            which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append(np.stack([np.repeat(at, n), self.item[r][which], self.at[r][which]], 1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
+            new = np.ones(len(item), bool)  # an item's regions are of one length
+            new[1:] = (item[1:] != item[:-1]) | (start[1:] > stop[:-1])
+            begins, ends = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(item)) - 1
+            for n, a, b in zip(item[begins].tolist(), start[begins].tolist(), stop[ends].tolist()):
+                a, b = max(a, 0), min(b, len(data))
+                r = int(np.searchsorted(offsets, a, "right")) - 1
+                while r < len(offsets) - 1 and offsets[r] < b:
+                    low, high = max(a, int(offsets[r])), min(b, int(offsets[r + 1]))
+                    if high - low >= len(self.texts[n][1]) - self.slack[n] and high > low:
+                        out.append((r, n, low, high))
+                    r += 1
+        return sorted(out)
 
 
 def _masks(pattern: bytes) -> dict[int, int]:
@@ -183,7 +240,7 @@ def nearest(pattern: bytes, text: bytes, masks: dict[int, int] | None = None) ->
     return distance, end - back, end
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = 0.8, repetitions: int = 3, steps: int = 48, sampled: int = 20, block: int = 4096) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = 0.8, block: int = 4096) -> DataFrame:
     """(doc_id, item_id, distance, similarity, start, stop) for each document and item whose best
     window has an edit similarity 1 - distance / item length from ``similarity`` on; start and stop
     are byte offsets in the document's text. The best window is the one of least distance; lengths
@@ -192,29 +249,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     blocks = max(1, -(-size["n"] // block), -(-(size["b"] or 0) // (1 << 23)))
-    walks = Walks(repetitions, steps, sampled)
 
     def search(own: list[tuple[int, str]]):
         def run(batches):
-            table = Items(own, walks)
+            table = Items(own, similarity)
             masks = [_masks(t) for _, t in table.texts]
             for rows, raw, raw_offsets in slices(batches, "text"):
                 data, offsets, origin = fold(raw, raw_offsets)
                 whole, best = data.tobytes(), {}
-                found = table.proposals(data)
-                row = np.searchsorted(offsets, found[:, 0], "right") - 1
-                open_to: dict[tuple[int, int], int] = {}
-                order = np.lexsort((found[:, 0] - found[:, 2], found[:, 1], row))
-                for r, n, start in zip(row[order].tolist(), found[order, 1].tolist(), (found[:, 0] - found[:, 2])[order].tolist()):
-                    size = len(table.texts[n][1])
-                    slack = int((1 - similarity) * size + 1e-9)
-                    low, high = int(offsets[r]), int(offsets[r + 1])
-                    if open_to.get((r, n), -1) >= start:
-                        continue  # the window verified last holds this one
-                    a, b = max(low, start - slack), min(high, start + size + 3 * slack)
-                    open_to[r, n] = start + slack
-                    distance, x, y = nearest(table.texts[n][1], whole[a:b], masks[n])
-                    if distance <= slack and (r, n) not in best or (r, n) in best and distance < best[r, n][0]:
+                for r, n, a, b in table.stretches(data, offsets):
+                    distance, y = best_place(table.texts[n][1], whole[a:b], masks[n])
+                    if distance <= table.slack[n] and ((r, n) not in best or distance < best[r, n][0]):
+                        _, x, y = nearest(table.texts[n][1], whole[a : a + y], masks[n])
                         best[r, n] = (distance, a + x, a + y)
                 for n in table.short:
                     pattern, r = table.texts[n][1], 0

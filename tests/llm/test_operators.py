@@ -259,6 +259,36 @@ def test_leaks_recall_against_brute_force(spark):
     assert decontam.leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def leaks_brute(rows, items, similarity=0.8):
+    """Every (doc, item): least distance within the threshold."""
+    want = {}
+    for d, t in rows:
+        for i, x in items:
+            a, b = decontam.fold_text(x), decontam.fold_text(t)
+            found = decontam.nearest(a, b)[0]
+            if found <= int((1 - similarity) * len(a) + 1e-9):
+                want[d, i] = found
+    return want
+
+
+def leaks_found(spark, rows, items, parts=2, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(parts)
+    return {(r.doc_id, r.item_id): r.distance for r in decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), **options).collect()}
+
+
+def test_leaks_near_the_threshold_are_all_found(spark):
+    rng = random.Random(8)
+    syllables = ["th", "er", "an", "in", "ing ", "or", "ha", "ti", "on ", "st ", "re", "en ", "wh"]
+    few = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    items = [(i, (few(rng.randrange(35, 65)) if i % 2 else prose(rng.randrange(20, 100), rng)).strip()) for i in range(40)]
+    rows = [(100 * k + i, few(60) + " " + edited(t, int(len(decontam.fold_text(t)) * share), rng) + " " + few(60)) for k, share in enumerate((0.15, 0.18, 0.2)) for i, t in items]
+    want = leaks_brute(rows, items)
+    assert sum(d >= 0.15 * len(decontam.fold_text(dict(items)[i])) for (_, i), d in want.items()) >= 30
+    assert leaks_found(spark, rows, items) == want
+    loose = {**leaks_brute(rows[:20], items, 0.6)}
+    assert leaks_found(spark, rows[:20], items, similarity=0.6) == loose
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
     scores, moves, first = rng.normal(size=(700, 3)), rng.normal(size=(3, 3)), np.array([0, 0, 5, 300, 700])
