@@ -289,6 +289,15 @@ def test_leaks_near_the_threshold_are_all_found(spark):
     assert leaks_found(spark, rows[:20], items, similarity=0.6) == loose
 
 
+def test_short_items_are_found(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(n, word(5) + " " + word(n - 6)) for n in range(12, 31)]
+    rows = [(i, word(30) + " " + t + " " + word(30)) for i, t in items] + [(100 + i, word(30) + " " + t[:7] + "z" + t[8:] + word(30)) for i, t in items]
+    want = leaks_brute(rows, items)
+    assert len(want) >= 38 and leaks_found(spark, rows, items) == want
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
     scores, moves, first = rng.normal(size=(700, 3)), rng.normal(size=(3, 3)), np.array([0, 0, 5, 300, 700])
