@@ -298,6 +298,12 @@ def test_short_items_are_found(spark):
     assert len(want) >= 38 and leaks_found(spark, rows, items) == want
 
 
+def test_leaks_of_a_text_that_begins_inside_an_item(spark):
+    item = "the quick brown foxes jumped over all of the lazy dogs that were asleep beside the river bank in the sun"
+    for rows in ([(1, item[3:])], [(1, item[3:]), (2, item[6:])], [(2, "other words"), (1, item[3:])], [(1, item[3:] + " and so on" * 60_000)]):
+        assert leaks_found(spark, rows, [(5, item)], 1) == leaks_brute(rows, [(5, item)]) and rows
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
     scores, moves, first = rng.normal(size=(700, 3)), rng.normal(size=(3, 3)), np.array([0, 0, 5, 300, 700])
