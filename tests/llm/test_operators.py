@@ -304,6 +304,15 @@ def test_leaks_of_a_text_that_begins_inside_an_item(spark):
         assert leaks_found(spark, rows, [(5, item)], 1) == leaks_brute(rows, [(5, item)]) and rows
 
 
+def test_leaks_of_unspaced_text(spark):
+    rng = random.Random(10)
+    signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(n))
+    items = [(i, signs(n)) for i, n in enumerate((8, 20, 40, 90))]
+    rows = [(i, signs(35) + t + signs(50)) for i, t in items] + [(10 + i, signs(35) + t[: len(t) // 2] + signs(1) + t[len(t) // 2 :] + signs(50)) for i, t in items]
+    want = leaks_brute(rows, items)
+    assert len(want) == 8 and leaks_found(spark, rows, items) == want
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
     scores, moves, first = rng.normal(size=(700, 3)), rng.normal(size=(3, 3)), np.array([0, 0, 5, 300, 700])
