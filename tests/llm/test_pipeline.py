@@ -27,3 +27,19 @@ def test_stages(spark, tmp_path):
     assert all(cut[i].text == dict(rows)[i] for i in {*range(21), 24})
     assert passage not in cut[25].text and passage not in cut[26].text and cut[25].n_chars == len(cut[25].text)
     assert set(left["benchmark decontamination"]) == kept - {24} == set(left["BPE encoding and decoding"])
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def changed(text, places):
+    words = text.split(" ")
+    return " ".join("changed" + str(i) if i in places else w for i, w in enumerate(words))
+
+
+def test_near_duplicates_are_of_five_words_at_80_percent(spark):
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    a, b = text(1, 97), text(2, 92)  # with two words changed: similarity 83/103 and 78/98; of four words 86/102
+    rows = [(1, a), (2, changed(a, {30, 60})), (3, b), (4, changed(b, {30, 60}))]
+    assert {r.doc_id for r in cp.near_duplicates(spark, table(spark, rows), "").collect()} == {1, 3, 4}
