@@ -14,25 +14,49 @@ from tessera.llm.core import Stage, bloom, thinned
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, a hash of all columns: rows that share it are alike in all of them."""
+    return docs.select(*COLUMNS, F.xxhash64(*[c for n in COLUMNS for c in (F.col(n), F.col(n).isNull())]).alias("row"))
+
+
+def judged_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` for an operator that judges by row, and not by doc_id."""
+    return keyed(docs).withColumn("doc_id", F.col("row")).drop("row")
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less those whose doc_id is in ``gone``. Rows that share a doc_id go together; rows
-    without one stay. Only documents that may be in it (a bit set of fixed size) are shuffled."""
-    docs = docs.select(*COLUMNS)
-    bits = bloom(gone.where("doc_id is not null"), "doc_id")
-    return thinned(docs, "doc_id", bits, inside=False).unionByName(thinned(docs, "doc_id", bits).join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS))
+    """``docs`` less the rows in ``gone`` (row: as of ``keyed``). Other rows of the same doc_id stay.
+    Only rows that may be in it (a bit set of fixed size) are shuffled."""
+    docs, bits = keyed(docs), bloom(gone, "row")
+    return thinned(docs, "row", bits, inside=False).unionByName(thinned(docs, "row", bits).join(gone.distinct(), "row", "left_anti").select(*COLUMNS, "row")).select(*COLUMNS)
+
+
+def once(docs: DataFrame, stage: Stage) -> DataFrame:
+    """``docs`` with one of the rows that are alike in all columns."""
+    docs = keyed(docs)
+    again = stage.write(docs.groupBy("row").count().where("count > 1").select("row"), "again")
+    bits = bloom(again, "row")
+    return thinned(docs, "row", bits, inside=False).select(*COLUMNS).unionByName(thinned(docs, "row", bits).select(*COLUMNS).distinct())
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = Stage(spark, "judged").write(quality.quality(docs).where("not kept").select("doc_id"), "bad")
-    return without(docs, judged)
+    judged = quality.quality(judged_rows(docs)).where("not kept").select(F.col("doc_id").alias("row"))
+    return without(docs, Stage(spark, "judged").write(judged, "bad"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the one of the smallest doc_id. Similar: Jaccard
-    similarity 0.8 or more of the sets of five-word shingles (op3's own are of four words, at 0.85)."""
-    found = ngram_join.jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id")
-    return without(docs, Stage(spark, "copies").write(found, "other"))
+    """Of each component of similar documents, the one row of the smallest doc_id (null: last; rows
+    that share it: any one), and of rows alike in all columns, one. Similar: Jaccard similarity 0.8 or more
+    of the sets of five-word shingles (op3's own are of four words, at 0.85)."""
+    stage = Stage(spark, "copies")
+    linked = ngram_join.jaccard_components(judged_rows(docs), k=5, percent=80).where("component_id <> doc_id")
+    others = stage.write(linked.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "others")
+    members = others.unionByName(others.select(F.col("component").alias("row"), "component")).distinct()
+    named = thinned(keyed(docs).select("row", "doc_id"), "row", bloom(members, "row")).distinct().join(members, "row")
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")).select("first.row")
+    gone = stage.write(members.select("row").join(kept, "row", "left_anti"), "gone")
+    return once(without(docs, gone), stage)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +68,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    found = decontam.leaks(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id")
+    found = decontam.leaks(judged_rows(docs), queries.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row"))
     return without(docs, Stage(spark, "leaks").write(found, "found"))
 
 

@@ -43,3 +43,20 @@ def test_near_duplicates_are_of_five_words_at_80_percent(spark):
     a, b = text(1, 97), text(2, 92)  # with two words changed: similarity 83/103 and 78/98; of four words 86/102
     rows = [(1, a), (2, changed(a, {30, 60})), (3, b), (4, changed(b, {30, 60}))]
     assert {r.doc_id for r in cp.near_duplicates(spark, table(spark, rows), "").collect()} == {1, 3, 4}
+
+
+def test_decisions_are_by_row(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    a, b, c, d, item = text(60), text(60), text(60), text(60), text(30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = lambda step, rows: sorted(map(str, ((r.doc_id, r.text) for r in step(spark, table(spark, rows), str(tmp_path)).collect())))
+    want = lambda rows: sorted(map(str, rows))
+    near = changed(b, {59})
+    rows = [(1, a), (1, a), (None, b), (None, b), (None, near), (5, c), (4, c), (None, c), (4, d), (6, d), (6, d)]
+    got = left(cp.near_duplicates, rows)
+    assert got in [want([(1, a), (None, x), (4, c), (4, d)]) for x in (b, near)]
+    rows = [(1, a), (1, "too short"), (None, b), (None, "short")]
+    assert left(cp.quality_rules, rows) == want([(1, a), (None, b)])
+    rows = [(1, a), (1, a + " " + item), (None, b), (None, item)]
+    assert left(cp.benchmark_passages, rows) == want([(1, a), (None, b)])
