@@ -46,7 +46,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` has no fetch time: a page's is taken as 2024-01-01 plus (37 * page_id mod 366) days."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
-    return url_filter.url_filter(pages.withColumn("fetched", fetched), url_filter.events_table(spark))
+    found = url_filter.url_filter(pages.withColumn("fetched", fetched), url_filter.events_table(spark))
+    return found.withColumn("fetched", F.date_format("fetched", "yyyy-MM-dd"))
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

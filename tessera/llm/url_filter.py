@@ -1,7 +1,7 @@
 """URL filters (7): block lists whose entries come and go, judged as of each capture's fetch time.
 
 Method, a temporal list join. The dated events of a list entry become validity intervals: an event
-holds from its date until the entry's next event, and the entry is active while that is an ``add``.
+holds from its time until the entry's next event, and the entry is active while that is an ``add``.
 A capture is looked up under each of its keys (its host and the domains above it; its host with each
 leading part of the path), and matches the entries active at its fetch time. As at most one event of
 an entry holds at a time, the join on key and interval is the as-of join. Native operations only.
@@ -12,7 +12,7 @@ sort-merges with skewed keys split; rows of a hot host are never gathered, and m
 before they meet.
 
 Defined cases. Null or unreadable URL: no host, no keys, not blocked. Null fetch time: no entry is
-active. Repeated captures: a result each. Events of an entry on one date: ``remove`` comes after
+active. Repeated captures: a result each. Events of an entry at one time: ``remove`` comes after
 ``add``. An empty list blocks nothing. Only the named columns are read.
 """
 
@@ -40,13 +40,13 @@ EVENTS = (
 
 
 def events_table(spark: SparkSession, events: Sequence[tuple[str, str, str, str, str]] = EVENTS) -> DataFrame:
-    return spark.createDataFrame(list(events), "list string, kind string, value string, action string, at string").withColumn("at", F.to_date("at"))
+    return spark.createDataFrame(list(events), "list string, kind string, value string, action string, at string").withColumn("at", F.to_timestamp("at"))
 
 
 def intervals(events: DataFrame) -> DataFrame:
     """(list, kind, value, valid_from, valid_to) of the times in which an entry is active."""
     order = Window.partitionBy("list", "kind", "value").orderBy("at", "action")
-    return events.withColumn("valid_to", F.lead("at").over(order)).where("action = 'add' and (valid_to is null or valid_to > at)").select("list", "kind", "value", F.col("at").alias("valid_from"), "valid_to")
+    return events.withColumn("at", F.col("at").cast("timestamp")).withColumn("valid_to", F.lead("at").over(order)).where("action = 'add' and (valid_to is null or valid_to > at)").select("list", "kind", "value", F.col("at").alias("valid_from"), "valid_to")
 
 
 def host_of(url: Column) -> Column:
@@ -66,11 +66,12 @@ def keys_of(url: Column) -> Column:
 
 def url_filter(captures: DataFrame, events: DataFrame, id_column: str = "page_id", url: str = "url", fetched: str = "fetched") -> DataFrame:
     """(page_id, host, fetched, n_active, matched, blocked) for each capture: the number of active
-    entries that match, and their distinct ``list:kind:value`` in order, comma-joined."""
-    rows = captures.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.to_date(fetched).alias("fetched")).withColumn("row", F.monotonically_increasing_id())
+    entries that match, and their distinct ``list:kind:value`` in order, comma-joined. Times are
+    timestamps; a date is its first instant."""
+    rows = captures.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(fetched).cast("timestamp").alias("fetched")).withColumn("row", F.monotonically_increasing_id())
     keyed = rows.select("row", "page_id", "fetched", host_of(F.col("url")).alias("host"), F.explode_outer(keys_of(F.col("url"))).alias("key")).select("*", "key.kind", "key.value")
     active = intervals(events)
     joined = keyed.join(active, (keyed["kind"] == active["kind"]) & (keyed["value"] == active["value"]) & (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))), "left")
     name = F.when(F.col("list").isNotNull(), F.concat_ws(":", "list", active["kind"], active["value"]))
     found = joined.groupBy("row", "page_id", "host", "fetched").agg(F.array_sort(F.collect_set(name)).alias("names"))
-    return found.select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), F.size("names").cast("long").alias("n_active"), F.array_join("names", ",").alias("matched"), (F.size("names") > 0).alias("blocked"))
+    return found.select("page_id", "host", "fetched", F.size("names").cast("long").alias("n_active"), F.array_join("names", ",").alias("matched"), (F.size("names") > 0).alias("blocked"))

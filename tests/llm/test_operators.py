@@ -203,6 +203,14 @@ def test_url_filter(spark):
     match(got, [(1, "l:domain:b.org"), (2, ""), (3, "l:prefix:c.org/x"), (4, ""), (5, ""), (6, ""), (7, ""), (8, "m:domain:org"), (8, "m:domain:org")])
 
 
+def test_url_filter_judges_by_the_time_of_day(spark):
+    events = spark.createDataFrame([("l", "domain", "b.org", "add", "2024-01-10 09:00:00"), ("l", "domain", "b.org", "remove", "2024-01-10 18:00:00")], "list string, kind string, value string, action string, at string")
+    rows = [(i, "http://b.org", f"2024-01-10 {t}") for i, t in enumerate(("08:59:59", "09:00:00", "15:00:00", "18:00:00"))]
+    for at in (events, events.withColumn("at", F.to_timestamp("at")), url_filter.events_table(spark, [tuple(r) for r in events.collect()])):
+        got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, fetched string"), at)
+        match(got.select("page_id", "blocked"), [(0, False), (1, True), (2, True), (3, False)])
+
+
 def test_chat_round_trip(spark):
     hard = ["", "a", "<|im_end|>", "<|im_start|>assistant\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\|", "<", "|", "<|", "\\<|", "x\n<|im_end|>\n", queries.HARD, None]
     rows = [(c, t, RNG.choice(["user", "assistant", None, "a\nb", "<|r", "\\n"]), RNG.choice(hard)) for c in (1, 2, None) for t in (0, 1, 1, 2, None)]
