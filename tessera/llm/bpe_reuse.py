@@ -25,18 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE, load, stable
-from .core import Hashes, Stage, U, bloom, slices, thinned
+from .core import Hashes, Stage, U, bloom, rolling, slices, thinned
 
 WINDOW = 32
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray, hashes: Hashes, mean: int) -> tuple[np.ndarray, np.ndarray]:
+def cuts(data: np.ndarray, offsets: np.ndarray, mean: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, first): chunk starts of all rows, and the number of each row's first chunk. A cut
     follows a window whose hash is a multiple of ``mean`` (a power of two), never inside a
     character, nor in a row's first or last WINDOW bytes."""
-    ends = np.arange(WINDOW, len(data))
-    hit = ends[(hashes(ends - WINDOW, ends) & U(mean - 1)) == 0]
+    hit = np.flatnonzero((rolling(data, WINDOW)[:-1] & U(mean - 1)) == 0) + WINDOW
     hit = hit[(data[hit] & 0xC0) != 0x80]
     row = np.searchsorted(offsets, hit, "right") - 1
     hit = hit[(hit - offsets[row] >= WINDOW) & (offsets[row + 1] - hit >= WINDOW)]
@@ -47,7 +46,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray, hashes: Hashes, mean: int) -> tu
 def digests(data: np.ndarray, offsets: np.ndarray, mean: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first, digest); the digest also holds the length."""
     hashes = Hashes(data)
-    starts, first = cuts(data, offsets, hashes, mean)
+    starts, first = cuts(data, offsets, mean)
     ends = np.append(starts[1:], len(data))
     return starts, ends, first, hashes(starts, ends).view(np.int64)
 
@@ -63,7 +62,7 @@ def assemble(bpe: ByteBPE, text: bytes, parts: list[tuple[int, int]], known: dic
         if head is None or tail is None:
             continue  # no place in this chunk: the next joint's text begins before it
         ids = known.get(keys[k])
-        if ids is None:
+        if ids is None or bpe.decode(ids.tolist()) != text[a:b]:  # a digest may be another chunk's too
             ids = np.array(bpe.encode(text[a:b].decode()), np.uint32)
         bounds = np.concatenate([[a], a + np.cumsum(bpe.lengths[ids])])
         if pending < head:

@@ -8,7 +8,9 @@ looks at a prefix of a text, and memory is bounded by ``SLICE_BYTES`` plus the l
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,10 +31,13 @@ U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests on
-    one machine) a temporary folder that is removed at exit."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one machine
+    (master ``local``, as in tests) gets a temporary folder that is removed at exit, and a cluster
+    an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -41,27 +46,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Stage:
     """Tables of one operator run, written to the shared folder: they cut lineage, and a lost
-    executor costs no more than the tasks it ran."""
+    executor costs no more than the tasks it ran.
+
+    An operator drops the tables that its result doesn't read. Those that it does read are needed
+    as long as the result is; they go when the driver's Python ends, or by ``drop_all``. Making a
+    stage also holds the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes."""
 
     def __init__(self, spark: SparkSession, name: str):
+        jvm = spark.sparkContext._jvm
         # texts reach Python in batches; by default, of up to 10,000 rows or 64 MB
-        for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-            held = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
+        for setting, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+            held = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.execution.arrow.{setting}"))
             if held <= 0 or held > most:
-                spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+                spark.conf.set(f"spark.sql.execution.arrow.{setting}", str(most))
+        self.spark, self.root = spark, f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
+        self._path, self._settings = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        atexit.register(self._at_exit)
 
     def write(self, df: DataFrame, name: str, **options) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _remove(self, path: str) -> None:
+        path = self._path(path)
+        path.getFileSystem(self._settings).delete(path, True)
+
     def drop(self, *names: str) -> None:
         """Removes tables no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._remove(f"{self.root}/{name}")
+
+    def drop_all(self) -> None:
+        """Removes the stage's tables; the results that read them can't be read any more."""
+        self._remove(self.root)
+
+    def _at_exit(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            self.drop_all()
 
 
 # ---------------------------------------------------------------- bytes and slices
@@ -144,17 +166,33 @@ def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = NOT_SPACE
 
 # ---------------------------------------------------------------- hashes
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: The prime 2**61 - 1. A base was drawn at random once: two different texts of n bytes have the same
+#: value for at most n of all the bases.
+PRIME = U((1 << 61) - 1)
+_BASE = 0x0B7E_1516_28AE_D2A7
+_BASE_INVERSE = pow(_BASE, -1, int(PRIME))
+_LOW30, _LOW31 = U((1 << 30) - 1), U((1 << 31) - 1)
+RUN = 1 << 14  # so many at a time stay in the processor's cache
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> U(61))
+    return np.minimum(x, x - PRIME)  # the difference wraps where x is below the prime
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, by halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> U(31), a & _LOW31, b >> U(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << U(1)) + (middle >> U(30)) + ((middle & _LOW30) << U(31)) + a0 * b0)
+
+
 def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), _BASE if kind == "up" else _BASE_INVERSE, U)
-        steps[0] = 1
-        _powers[kind] = np.cumprod(steps)
+    base = _BASE if kind == "up" else _BASE_INVERSE
+    while len(have := _powers[kind]) < n:
+        more = times(have, np.full(1, pow(base, len(have), int(PRIME)), U))
+        _powers[kind] = np.concatenate([have, more])
     return _powers[kind][:n]
 
 
@@ -169,15 +207,45 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Hashes:
     """Hashes of any stretches of a byte array, each in constant time: equal bytes give equal
-    hashes, wherever they stand. Arithmetic is modulo 2**64 over random values for the bytes."""
+    hashes, wherever they stand. Polynomials modulo a prime, so that no kind of text (repeats of
+    repeats, say) makes different bytes meet."""
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(_BYTES[data] * _power("up", len(data)), out=self.sums[1:])
+        up, carry = _power("up", len(data)), U(0)
+        for a in range(0, len(data), RUN):  # sums of so many terms fit
+            part, power = data[a : a + RUN].astype(U) + U(1), up[a : a + RUN]
+            high = _reduced(np.cumsum(part * (power >> U(31))))
+            low = np.cumsum(part * (power & _LOW31))
+            self.sums[a + 1 : a + 1 + len(part)] = _reduced(((high & _LOW30) << U(31)) + (high >> U(30)) + (low & PRIME) + (low >> U(61)) + carry)
+            carry = self.sums[a + len(part)]
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        down = _power("down", len(self.sums))
-        return mix((self.sums[ends] - self.sums[starts]) * down[starts] + (ends - starts).astype(U))
+        down, out = _power("down", len(self.sums)), np.empty(len(starts), U)
+        for a in range(0, len(starts), RUN):
+            s, e = starts[a : a + RUN], ends[a : a + RUN]
+            here = _reduced(self.sums[e] + (PRIME - self.sums[s]))
+            out[a : a + RUN] = mix(times(here, down[s]) + (e - s).astype(U))
+        return out
+
+
+_BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """A quick hash of the ``width`` bytes from each position on. It chooses places by content (equal
+    bytes, equal hash); whether bytes are equal is for ``Hashes`` to say."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.empty(0, U)
+    out, done = _BYTES[data], 1  # hashes of the ``done`` bytes from each position on
+    single = out
+    for bit in bin(width)[3:]:
+        factor = U(pow(0x9FB21C651E98DF25, done, 1 << 64))
+        out, done = out[: len(out) - done] * factor + out[done:], 2 * done
+        if bit == "1":
+            out, done = out[: len(data) - done] * U(0x9FB21C651E98DF25) + single[done:], done + 1
+    return mix(out)
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
