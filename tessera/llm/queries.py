@@ -31,7 +31,8 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """Beside the contract's columns, at 400 bytes: the text kept, and what strings of ``PASSAGE`` bytes would cut."""
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Suffix-array dedup (4): bytes inside strings of ``LENGTH`` bytes that start anywhere else too.
-
-Method, a logarithmic index family over sparse suffix arrays. Of the windows of LENGTH bytes, each
-names one suffix: where the smallest hash of a ``GRAM``-byte string in the window is, the leftmost of
-equals. That depends on the window's bytes alone, so equal windows name suffixes at the same place in
-them; about one position in 176 is named. A batch's suffix array has its named suffixes in order of a
-fingerprint of ``REACH`` bytes that all the windows naming it on one side hold. (Any order that puts
+"""Suffix-array dedup (4): bytes inside strings of ``length`` bytes that start anywhere else too.
+
+Method, a logarithmic index family over sparse suffix arrays. Of the windows of ``length`` bytes, each
+names one suffix: where the smallest hash of a gram (an eighth of the length) in the window is, the
+leftmost of equals. That depends on the window's bytes alone, so equal windows name suffixes at the
+same place in them; of 400 bytes, about one position in 176 is named. A batch's suffix array has its
+named suffixes in order of a
+fingerprint of the bytes that all the windows naming it on one side hold. (Any order that puts
 equal beginnings side by side serves a merge scan; a fingerprint's is cheaper than the bytes'.) A new
 batch's array is merge-scanned against its own and each existing level; levels of equal size merge,
 so a suffix is rewritten log2(batches) times. A suffix whose fingerprint is met again is a candidate.
@@ -16,7 +17,8 @@ them agree.
 
 Scale. Texts are read to name suffixes, at the end, and in between for documents with candidates that
 differ (a bit set of fixed size, then an exact join). A hot string's suffixes are counted before they
-meet, and what differs under one fingerprint ``HOT`` times or more is spread by window.
+meet; joins on a fingerprint have a written table on either side, so that Spark can split a hot one;
+and what differs under one fingerprint ``HOT`` times or more is spread by window.
 
 Defined cases. Null or short text: nothing removed. Rows with the same doc_id, and repeated rows, are
 documents of their own (a repeated row is a copy of the other). Matches never cross documents. Cut
@@ -35,17 +37,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import Hashes, Stage, U, bloom, flat, mix, slices, whole_groups
+from .core import Hashes, Stage, U, bloom, flat, mix, rolling, slices, whole_groups
 
-LENGTH, GRAM = 400, 50
-SPAN = LENGTH - GRAM + 1  # places for a gram in a window
-HALF = SPAN // 2
-REACH = GRAM + HALF
-HOT = 4096
+LENGTH = 400
+#: Shorter than 50 words of prose are in any of the languages at hand (a word and its space have six
+#: bytes or so), so that a passage of over 50 words holds strings of this length.
+PASSAGE = 240
+HOT = 512
 BITS = 1 << 24
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
+class Shape:
+    """The sizes that follow from a string length (16 bytes at least)."""
+
+    def __init__(self, length: int):
+        if length < 16:
+            raise ValueError("length: 16 bytes at least")
+        self.length, self.gram = length, length // 8
+        self.span = length - self.gram + 1  # places for a gram in a window
+        self.half = self.span // 2
+        self.reach = self.gram + self.half
+
+
 def row_ids(rows: pa.RecordBatch, hashes: Hashes, offsets: np.ndarray) -> np.ndarray:
     """An id for each row, of its doc_id and its bytes."""
     doc = rows.column("doc_id")
@@ -53,43 +67,43 @@ def row_ids(rows: pa.RecordBatch, hashes: Hashes, offsets: np.ndarray) -> np.nda
     return mix(hashes(offsets[:-1], offsets[1:]) + mix(number + U(1))).view(np.int64)
 
 
-def named_suffixes(data: np.ndarray, offsets: np.ndarray, hashes: Hashes):
+def named_suffixes(data: np.ndarray, offsets: np.ndarray, hashes: Hashes, shape: Shape):
     """(row, lo, hi, fingerprint, digest): the windows that start in [lo, hi] name one suffix and
     hold its fingerprint's bytes; the digest is of all their bytes and of where the suffix is."""
-    n = len(data)
-    count = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+    count = np.maximum(np.diff(offsets) - shape.length + 1, 0)
     if not count.sum():
         empty = np.empty(0, np.int64)
         return empty, empty, empty, empty, empty
-    at = np.arange(n - GRAM + 1)
-    least = (hashes(at, at + GRAM) & U(0xFFFFFFFF00000000)) | at.astype(U)
+    least = rolling(data, shape.gram)
+    least &= U(0xFFFFFFFF00000000)
+    least |= np.arange(len(least), dtype=U)
     width = 1
-    while width * 2 <= SPAN:
+    while width * 2 <= shape.span:
         least, width = np.minimum(least[:-width], least[width:]), width * 2
-    rest = SPAN - width
+    rest = shape.span - width
     least = np.minimum(least[: len(least) - rest], least[rest:])
     starts = np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     anchor = (least[starts] & U(0xFFFFFFFF)).astype(np.int64)
-    right = anchor - starts < HALF
+    right = anchor - starts < shape.half
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (right[1:] != right[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     lo, hi, q, side = starts[first], starts[last], anchor[first], right[first]
-    begin = np.where(side, q, q - HALF)
-    fingerprint = mix(hashes(begin, begin + REACH) + side.astype(U))
-    digest = mix(hashes(lo, hi + LENGTH) + (q - lo).astype(U) * U(0x9FB21C651E98DF25))
+    begin = np.where(side, q, q - shape.half)
+    fingerprint = mix(hashes(begin, begin + shape.reach) + side.astype(U))
+    digest = mix(hashes(lo, hi + shape.length) + (q - lo).astype(U) * U(0x9FB21C651E98DF25))
     row = np.searchsorted(offsets, lo, "right") - 1
     return row, lo - offsets[row], hi - offsets[row], fingerprint.view(np.int64), digest.view(np.int64)
 
 
-def suffixes(docs: DataFrame, batches: int) -> DataFrame:
+def suffixes(docs: DataFrame, batches: int, shape: Shape) -> DataFrame:
     """Named suffixes of all texts, dealt to batches by document."""
 
     def run(parts):
         for rows, data, offsets in slices(parts, "text"):
             hashes = Hashes(data)
-            row, lo, hi, fingerprint, digest = named_suffixes(data, offsets, hashes)
+            row, lo, hi, fingerprint, digest = named_suffixes(data, offsets, hashes, shape)
             rid = row_ids(rows, hashes, offsets)[row] if len(row) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(fingerprint), pa.array(digest), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array((mix(rid.view(U)) % U(batches)).astype(np.int32))], names=["key", "digest", "rid", "lo", "hi", "batch"])
 
@@ -144,13 +158,13 @@ def _texts(docs: DataFrame, bits: np.ndarray | None = None, inside: bool = True)
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("rid", T.LongType())]))
 
 
-def _contexts(parts):
+def _contexts(parts, length: int):
     """The bytes of all windows of each asked suffix; parts: texts with the list of them."""
     for rows, data, offsets in slices(parts, "text"):
         whole, out = data.tobytes(), []
         for r, (rid, asked) in enumerate(zip(rows.column("rid").to_pylist(), rows.column("asked").to_pylist())):
             base = int(offsets[r])
-            out += [(x["key"], x["digest"], x["single"], rid, x["lo"], whole[base + x["lo"] : base + x["hi"] + LENGTH]) for x in asked]
+            out += [(x["key"], x["digest"], x["single"], rid, x["lo"], whole[base + x["lo"] : base + x["hi"] + length]) for x in asked]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "digest", "single", "rid", "lo", "bytes"])
 
@@ -158,17 +172,17 @@ def _contexts(parts):
 CONTEXT = "key long, digest long, single boolean, rid long, lo int, bytes binary"
 
 
-def _windows(table: pa.Table):
+def _windows(table: pa.Table, length: int):
     """(context, place in it, hash) of each window of each context."""
     data, offsets = flat(table["bytes"].combine_chunks() if table["bytes"].num_chunks != 1 else table["bytes"].chunk(0))
-    count = np.diff(offsets) - LENGTH + 1
+    count = np.diff(offsets) - length + 1
     context = np.repeat(np.arange(len(count)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = offsets[context] + place
-    return context, place, Hashes(data)(start, start + LENGTH)
+    return context, place, Hashes(data)(start, start + length)
 
 
-def _compare(parts):
+def _compare(parts, length: int):
     """Spans of windows that another context of the same key has too; parts: in order of the key."""
     for table in whole_groups(parts, ["key"], rows=4000):
         key, digest = table["key"].to_numpy(), table["digest"].to_numpy()
@@ -177,68 +191,73 @@ def _compare(parts):
         again[order[1:]] = (key[order][1:] == key[order][:-1]) & (digest[order][1:] == digest[order][:-1])
         table = table.filter(pa.array(~again)).combine_chunks()
         key = table["key"].to_numpy()
-        context, place, value = _windows(table)
+        context, place, value = _windows(table, length)
         order = np.lexsort((value, key[context]))
         same = (value[order][1:] == value[order][:-1]) & (key[context[order]][1:] == key[context[order]][:-1])
         hit = np.zeros(len(value), bool)
         hit[order[1:]] |= same
         hit[order[:-1]] |= same
         hit &= table["single"].to_numpy(zero_copy_only=False)[context]
-        out = _runs(context[hit], place[hit], table["rid"].to_numpy(), table["lo"].to_numpy())
+        out = _runs(context[hit], place[hit], table["rid"].to_numpy(), table["lo"].to_numpy(), length)
         if len(out[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["rid", "start", "stop"])
 
 
-def _runs(context, place, rid, lo):
+def _runs(context, place, rid, lo, length):
     """Byte spans (rid, start, stop) of windows in order of (context, place)."""
     new = np.ones(len(place), bool)
     new[1:] = (context[1:] != context[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(place)) - 1 if len(first) else first
     which = context[first]
-    return rid[which], lo[which].astype(np.int64) + place[first], lo[which].astype(np.int64) + place[last] + LENGTH
+    return rid[which], lo[which].astype(np.int64) + place[first], lo[which].astype(np.int64) + place[last] + length
 
 
-def _spread(parts):
+def _spread(parts, length: int):
     """One row for each window of each context of a hot key."""
     for batch in parts:
         for start in range(0, batch.num_rows, 500):
             table = pa.Table.from_batches([batch.slice(start, 500)])
-            context, place, value = _windows(table)
+            context, place, value = _windows(table, length)
             lo = table["lo"].to_numpy().astype(np.int64)[context]
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(table["rid"].to_numpy()[context]), pa.array(lo + place), table["single"].combine_chunks().take(pa.array(context)) if table["single"].num_chunks != 1 else table["single"].chunk(0).take(pa.array(context))], names=["window", "rid", "start", "single"])
 
 
-def repeated_spans(docs: DataFrame, stage: Stage, batches: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, stage: Stage, batches: int, length: int) -> DataFrame:
     """(rid, start, stop): byte spans whose union is what is to be removed."""
-    named = stage.write(suffixes(docs, batches), "suffixes")
+    named = stage.write(suffixes(docs, batches, Shape(length)), "suffixes")
     family = IndexFamily(stage)
     met = None
     for b in range(batches):
         found = family.add(named.where(F.col("batch") == b).select("key", "digest"))
         met = found if met is None else met.unionByName(found)
     family.close()
-    candidates = stage.write(named.drop("batch").join(met.distinct(), "key", "left_semi"), "candidates")
-    stage.drop("suffixes")
+    met = stage.write(met.distinct(), "met")
+    candidates = stage.write(named.drop("batch").join(met, "key", "left_semi"), "candidates")
+    stage.drop("suffixes", "met", *(f"met-{i}" for i in range(1, 2 * batches)))
     kinds = candidates.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one"))
     kinds = stage.write(kinds, "kinds")
     same = kinds.where("n > 1").select("key", "digest")
-    whole = candidates.join(same, ["key", "digest"], "left_semi").select("rid", F.col("lo").cast("long").alias("start"), (F.col("hi") + LENGTH).cast("long").alias("stop"))
+    whole = candidates.join(same, ["key", "digest"], "left_semi").select("rid", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("stop"))
     differ = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max((F.col("n") == 1).cast("int")).alias("open")).where("kinds > 1 and open = 1")
-    asked = stage.write(kinds.join(differ.select("key", "kinds"), "key").select("key", "digest", (F.col("n") == 1).alias("single"), "one.*", (F.col("kinds") > HOT).alias("hot")), "asked")
+    differ = stage.write(differ.select("key", "kinds"), "differ")
+    asked = stage.write(kinds.join(differ, "key").select("key", "digest", (F.col("n") == 1).alias("single"), "one.*", (F.col("kinds") > HOT).alias("hot")), "asked")
     texts = _texts(docs.select("doc_id", "text"), bloom(asked, "rid", BITS)).drop("doc_id")
     for_text = asked.groupBy("rid").agg(F.collect_list(F.struct("key", "digest", "single", "lo", "hi")).alias("asked"))
-    contexts = texts.join(for_text, "rid").mapInArrow(_contexts, CONTEXT)
+    contexts = texts.join(for_text, "rid").mapInArrow(lambda parts: _contexts(parts, length), CONTEXT)
     out = whole
-    if asked.where("hot").isEmpty():
+    hot = asked.where("hot").select("key").distinct()
+    if hot.isEmpty():
         usual = contexts
     else:
-        contexts = stage.write(contexts.join(asked.where("hot").select("key").distinct().withColumn("hot", F.lit(True)), "key", "left"), "contexts")
+        hot = stage.write(hot.withColumn("hot", F.lit(True)), "hot")
+        contexts = stage.write(contexts.join(hot, "key", "left"), "contexts")
         usual = contexts.where("hot is null").drop("hot")
-        spread = stage.write(contexts.where("hot").drop("hot").dropDuplicates(["key", "digest"]).mapInArrow(_spread, "window long, rid long, start long, single boolean"), "spread")
-        twice = spread.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-        out = out.unionByName(spread.where("single").join(twice, "window", "left_semi").select("rid", "start", (F.col("start") + LENGTH).alias("stop")))
-    compared = usual.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_compare, "rid long, start long, stop long")
+        windows = contexts.where("hot").drop("hot").dropDuplicates(["key", "digest"]).mapInArrow(lambda parts: _spread(parts, length), "window long, rid long, start long, single boolean")
+        spread = stage.write(windows, "spread")
+        twice = stage.write(spread.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "twice")
+        out = out.unionByName(spread.where("single").join(twice, "window", "left_semi").select("rid", "start", (F.col("start") + length).alias("stop")))
+    compared = usual.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(lambda parts: _compare(parts, length), "rid long, start long, stop long")
     return out.unionByName(compared)
 
 
@@ -253,36 +272,46 @@ def cut(body: np.ndarray, spans: list[dict] | None) -> tuple[np.ndarray, int]:
     return body[~gone], int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
 
 
-def with_spans(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(rows that may hold repeats, with ``spans``; all others) of docs (doc_id long, text string and
-    any other columns but rid, spans)."""
+def with_spans(docs: DataFrame, batches: int, lengths: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may hold repeats, with ``spans``: start, stop and of which length; all others) of docs
+    (doc_id long, text string and any other columns but rid, spans)."""
     stage = Stage(docs.sparkSession, "suffix")
-    spans = stage.write(repeated_spans(docs.select("doc_id", "text"), stage, batches), "spans")
-    stage.drop("candidates", "kinds", "asked", "contexts", "spread", *(f"met-{i}" for i in range(1, 2 * batches)))
+    spans = None
+    for length in lengths:
+        own = stage.write(repeated_spans(docs.select("doc_id", "text"), stage, batches, length).withColumn("length", F.lit(length)), f"spans-{length}")
+        stage.drop("candidates", "kinds", "differ", "asked", "hot", "contexts", "spread", "twice")
+        spans = own if spans is None else spans.unionByName(own)
     bits = bloom(spans, "rid", BITS)
-    by_row = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    by_row = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop", "length")).alias("spans"))
     return _texts(docs, bits).join(by_row, "rid", "left").drop("rid"), _texts(docs, bits, inside=False).drop("rid")
 
 
-def repeats(docs: DataFrame, text: str = "text", batches: int = 4) -> DataFrame:
-    """One row of ``RESULT`` for each document; ``kept`` is null where nothing is removed."""
+def repeats(docs: DataFrame, text: str = "text", batches: int = 4, length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """One row of ``RESULT`` for each document: what is cut of strings of ``length`` bytes. ``kept``
+    is the text that stays, null where nothing is cut. With ``passage``, a second and shorter
+    length, also ``passage_removed`` and ``passage_spans``: the bytes and runs that it would cut."""
+    result = RESULT + (", passage_removed long, passage_spans long" if passage else "")
+    types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * (2 if passage else 0)
 
     def digest(parts):
         for rows, data, offsets in slices(parts, "text"):
             spans = rows.column("spans").to_pylist() if "spans" in rows.schema.names else [None] * rows.num_rows
             out = []
             for r, (doc, own) in enumerate(zip(rows.column("doc_id").to_pylist(), spans)):
-                n = int(offsets[r + 1] - offsets[r])
-                rest, runs = cut(data[offsets[r] : offsets[r + 1]], own)
+                body = data[offsets[r] : offsets[r + 1]]
+                rest, runs = cut(body, [x for x in own or () if x["length"] == length])
                 kept = rest.tobytes()
-                out.append((doc, n, n - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if runs else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((doc, len(body), len(body) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if runs else None))
+                if passage:
+                    rest, runs = cut(body, [x for x in own or () if x["length"] == passage])
+                    out[-1] += (len(body) - len(rest), runs)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in result.split(", ")])
 
-    hit, rest = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), batches)
-    return hit.mapInArrow(digest, RESULT).unionByName(rest.mapInArrow(digest, RESULT))
+    hit, rest = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), batches, tuple({length: 0, (passage or length): 0}))
+    return hit.mapInArrow(digest, result).unionByName(rest.mapInArrow(digest, result))
 
 
-def without_repeats(docs: DataFrame, batches: int = 4) -> DataFrame:
+def without_repeats(docs: DataFrame, batches: int = 4, length: int = LENGTH) -> DataFrame:
     """``docs`` (doc_id long, text string, other columns) with the repeats cut from the texts."""
     schema = docs.schema
 
@@ -294,5 +323,5 @@ def without_repeats(docs: DataFrame, batches: int = 4) -> DataFrame:
             fresh = pc.if_else(pc.is_valid(rows.column("text")), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([fresh if f.name == "text" else rows.column(f.name) for f in schema], names=schema.names)
 
-    hit, rest = with_spans(docs, batches)
+    hit, rest = with_spans(docs, batches, (length,))
     return hit.mapInArrow(strip, schema).unionByName(rest)
