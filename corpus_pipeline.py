@@ -60,9 +60,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand elsewhere too; what is left of a cut character goes,
-    and n_chars follows. A document of nothing else stays, with an empty text."""
-    cut = suffix_dedup.without_repeats(docs.select(*COLUMNS))
+    """Texts without the passages that stand elsewhere too: all that is in strings of
+    ``suffix_dedup.PASSAGE`` bytes met twice, which passages of over 50 words have (op4's own strings
+    are of 400 bytes). What is left of a cut character goes, and n_chars follows. A document of
+    nothing else stays, with an empty text."""
+    cut = suffix_dedup.without_repeats(docs.select(*COLUMNS), length=suffix_dedup.PASSAGE)
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
