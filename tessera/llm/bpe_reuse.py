@@ -53,10 +53,10 @@ def digests(data: np.ndarray, offsets: np.ndarray, mean: int) -> tuple[np.ndarra
 
 def assemble(bpe: ByteBPE, text: bytes, parts: list[tuple[int, int]], known: dict[int, np.ndarray], keys: list[int]) -> np.ndarray:
     """Ids of a whole text from those of its chunks. ``known``: ids of some chunks, by digest."""
-    out, pending = [], 0  # the text is encoded up to ``pending``
+    out, pending, special = [], 0, tuple(bpe.special)  # the text is encoded up to ``pending``
     for k, (a, b) in enumerate(parts):
         last = k + 1 == len(parts)
-        inner = stable(np.frombuffer(text, np.uint8, b - a, a)) + a
+        inner = stable(np.frombuffer(text, np.uint8, b - a, a), special) + a
         head = 0 if k == 0 else int(inner[0]) if len(inner) else None
         tail = len(text) if last else int(inner[-1]) if len(inner) else None
         if head is None or tail is None:

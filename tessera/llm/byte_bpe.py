@@ -1,14 +1,15 @@
 """Byte-level BPE as the two token operators use it: exact ids, token lengths, and the places in a
 text at which any context splits tokens.
 
-Ids equal those of the tokenizers library for the same file. Where the file is a plain byte-level BPE
-(ids in merge order, one splitting rule, no normaliser) a faster library does the merging over the
-same ranks; a file of any other make goes through the tokenizers library itself.
+Ids equal those of the tokenizers library for the same file. The file must be a plain byte-level BPE
+(ids in merge order, one splitting rule, no normaliser); a faster library does the merging over the
+same ranks; a file of any other make is refused.
 """
 
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -70,11 +71,44 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _INK = np.zeros(256, bool)
 _INK[33:127] = True
-
-
-def stable(data: np.ndarray) -> np.ndarray:
-    """Offsets p at which any text that holds these bytes is split, whatever stands before or after:
-    an ASCII character that isn't a space precedes, an ASCII space follows. In the splitting rule no
-    piece goes on with a space after a character that isn't one, and no special token has a space;
-    so the tokens before p depend on nothing after the space, and those from p on nothing before."""
-    return np.flatnonzero(_INK[data[:-1]] & _SPACE[data[1:]]) + 1 if len(data) > 1 else np.empty(0, np.int64)
+SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
+#: White space beyond ASCII.
+WIDE_SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """What the splitting rule takes each of the first 65,536 code points for. Unsure are those that
+    editions of Unicode don't agree on, and those beyond."""
+    table = np.full(0x10001, UNSURE, np.uint8)
+    of = {"L": LETTER, "N": NUMBER}
+    for c in range(0x10000):
+        old, new = unicodedata.ucd_3_2_0.category(chr(c)), unicodedata.category(chr(c))
+        if old[0] == new[0] and new[0] in "LNMPS":
+            table[c] = of.get(new[0], OTHER)
+    table[[9, 10, 11, 12, 13, 32, *WIDE_SPACES]] = SPACE
+    return table
+
+
+def stable(data: np.ndarray, special: tuple[str, ...] = ()) -> np.ndarray:
+    """Offsets p at which any text that holds these bytes (whole characters) is split, whatever stands
+    before or after. No special token has a space.
+
+    Where an ASCII character that isn't a space precedes and an ASCII space follows: in the splitting
+    rule no piece goes on with a space after a character that isn't one, so the tokens before p depend
+    on nothing after the space, and those from p on nothing before. If there is no such place, then
+    also where any other space follows, and between letters, numbers and other signs (but for other
+    signs before letters, as in 's): no piece has two of these. Pairs of characters that stand inside
+    a special token are left out."""
+    places = np.flatnonzero(_INK[data[:-1]] & _SPACE[data[1:]]) + 1 if len(data) > 1 else np.empty(0, np.int64)
+    if len(places) or len(data) < 2:
+        return places
+    point = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    kind = kinds()[np.minimum(point, 0x10000)]
+    before, after = kind[:-1], kind[1:]
+    split = (before != after) & (before != SPACE) & (before != UNSURE) & (after != UNSURE) & ~((before == OTHER) & (after == LETTER))
+    for token in special:
+        for a, b in zip(token, token[1:]):
+            split &= ~((point[:-1] == ord(a)) & (point[1:] == ord(b)))
+    width = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+    return np.cumsum(width)[:-1][split]

@@ -3,9 +3,10 @@
 Method, overlap resynchronisation. A text over ``huge`` bytes is cut into chunks of ``chunk`` bytes,
 each encoded with ``overlap`` bytes of the next. Token offsets of both chunks at a joint are compared;
 the splice is at a token boundary that both have and that is proven stable (byte_bpe.stable). If the
-overlap has none, it is doubled and the left chunk encoded again; when the overlap reaches the next
-joint, the two chunks become one. So counts equal those of the whole text, and the working memory is
-one text's.
+overlap has none, it is widened until it has one and the left chunk is encoded again; when the overlap
+reaches the next joint, chunks become one, of twice the length at least, so that the time is in
+proportion to the text's length. Counts equal those of the whole text, and the working memory is one
+text's.
 
 Defined cases. Null or empty text: 0 bytes, 0 tokens. Repeated rows: a result each. Text without any
 stable place is encoded whole. Only the named columns are read.
@@ -13,6 +14,8 @@ stable place is encoded whole. Only the named columns are read.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,25 +43,31 @@ def count_spliced(bpe: ByteBPE, data: bytes, chunk: int, overlap: int) -> int:
     def reach(k: int, wide: int) -> int:
         return _char_start(data, min((cuts[k + 1] if k + 1 < len(cuts) else len(data)) + wide, len(data)))
 
+    special = tuple(bpe.special)
     total = start = i = 0  # chunk i's tokens count from the splice at ``start``
     left = ends(0, reach(0, overlap))
     while i + 1 < len(cuts):
         joint, wide = cuts[i + 1], overlap
-        right = ends(joint, reach(i + 1, overlap))
-        while True:
+        places = np.empty(0, np.int64)
+        while not len(places):  # an overlap that holds a stable place, up to the next joint
             stop = min(reach(i, wide), reach(i + 1, 0))
-            zone = np.frombuffer(data, np.uint8, stop - joint, joint)
-            both = np.intersect1d(left, right, assume_unique=True)
-            both = np.intersect1d(both[both > start], joint + stable(zone), assume_unique=True)
-            if len(both) or stop >= reach(i + 1, 0):
+            places = joint + stable(np.frombuffer(data, np.uint8, stop - joint, joint), special)
+            if stop >= reach(i + 1, 0):
                 break
             wide *= 2
-            left = ends(cuts[i], reach(i, wide))
+        both = np.empty(0, np.int64)
+        if len(places):
+            if stop > reach(i, overlap):
+                left = ends(cuts[i], stop)
+            right = ends(joint, reach(i + 1, overlap))
+            both = np.intersect1d(left, right, assume_unique=True)
+            both = np.intersect1d(both[both > start], places, assume_unique=True)
         if len(both):
             total += int(np.count_nonzero((left > start) & (left <= both[0])))
             start, left, i = int(both[0]), right, i + 1
-        else:  # no place up to the next joint: one chunk of the two
-            del cuts[i + 1]
+        else:  # no place up to the next joint: chunks become one, twice as long each time
+            last = max(i + 2, bisect.bisect_left(cuts, 2 * joint - cuts[i]))
+            del cuts[i + 1 : last]
             left = ends(cuts[i], reach(i, overlap))
     return total + int(np.count_nonzero(left > start))
 
