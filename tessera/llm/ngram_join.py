@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .core import LOWER, Stage, U, bloom, components, flat, mix, slices, thinned, whole_groups, word_shingles
@@ -90,9 +90,11 @@ def frequent(docs: DataFrame, k: int, heavy: float) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([True])], names=["h", "n", "total"])
 
     told = docs.select("text").mapInArrow(run, "h long, n long, total boolean").groupBy("total", "h").agg(F.sum("n").alias("n"))
-    told = Stage(docs.sparkSession, "frequent").write(told, "told")
+    stage = Stage(docs.sparkSession, "frequent")
+    told = stage.write(told, "told")
     n = told.where("total").agg(F.sum("n")).first()[0] or 0
     got = told.where(~F.col("total") & (F.col("n") >= max(8.0, heavy * n / 2))).select("h", "n").toPandas()
+    stage.drop_all()
     return got.sort_values(["n", "h"])["h"].to_numpy(dtype=np.int64).view(U)
 
 
@@ -282,12 +284,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, percent:
     own = sets.where("n > 0 and doc_id is not null")
     classes = stage.write(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cls"), F.first("gid").alias("gid"), F.first("sig").alias("sig")), "classes")
     posting = own.select("gid", F.explode("prefix").alias("token"))
-    # shingles that one group has are of no use: a look at the rows beside each of a sorted list
-    beside = Window.partitionBy("token").orderBy("gid")
-    met = posting.withColumn("before", F.lag("gid").over(beside)).withColumn("after", F.lead("gid").over(beside)).where("before <> gid or after <> gid").select("token", "gid").dropDuplicates()
+    # shingles that one group has are of no use. Counts go by partial aggregates and each join on a
+    # shingle has a written table on either side, so that no task gets all of a hot one
+    shared = stage.write(posting.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low <> high").select("token"), "shared")
+    met = stage.write(posting.join(shared, "token", "left_semi"), "met")
     within = classes.groupBy("gid").agg(F.count("*").alias("members")).where("members > 1").select(F.xxhash64("gid").alias("token"), "gid")
-    lists = met.unionByName(within).join(classes.select("gid", "cls", "n"), "gid").select("token", "cls", "n")
-    lists = stage.write(lists.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1"), "lists")
+    met = stage.write(met.dropDuplicates(["token", "gid"]).unionByName(within), "met-once")
+    lists = stage.write(met.join(classes.select("gid", "cls", "n"), "gid").select("token", "cls", "n"), "members")
+    sizes = stage.write(lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    lists = stage.write(lists.join(sizes, "token"), "lists")
+    stage.drop("shared", "met", "met-once", "members", "sizes")
     any_long = not lists.where(F.col("size") > BLOCK).isEmpty()
     sigs = classes.select("cls", "n", "sig")
     # lists of many: each member's signature goes along; long ones are split in blocks
@@ -318,7 +324,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, percent:
         if not more.isEmpty():
             links = links.unionByName(stage.write(verify(docs, more, k, percent), "judged-again").where("linked").select("a", "b"))
             found = components(stage, links, "all-links")
-    stage.drop("lists", "again", "dirty")
+    found = stage.write(found, "found")
+    stage.drop("lists", "again", "dirty", "judged", "more", "judged-again")
     of_class = classes.select("n", "d1", "d2", "cls").join(found.withColumnRenamed("id", "cls"), "cls", "left").select("n", "d1", "d2", "cls", F.coalesce("component", "cls").alias("component"))
     out = sets.select("doc_id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
