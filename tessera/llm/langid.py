@@ -6,8 +6,8 @@ that the training sample has often, and its shape. Transitions between languages
 sequences that switch between pieces of documents of several languages. Forward-backward gives each
 word's probabilities; a text's are their mean, and the best is the prediction, its mean the score.
 
-Training is on a bounded sample: up to ``per_language`` documents of each of up to ``max_languages``
-languages (the most frequent), and of each one stretch of up to ``stretch`` characters from a place
+Training is on a bounded sample: about ``per_language`` documents of each language that occurs (the
+model and the time grow with the number of languages), and of each one stretch of up to ``stretch`` characters from a place
 chosen by hash. Prediction reads whole texts. Long texts are cut in segments whose transfer matrices
 are multiplied up first, so the result is that of the whole sequence.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import LOWER, Hashes, U, byte_class, flat, mix, slices, words
+from .core import LOWER, Hashes, Stage, U, byte_class, flat, mix, slices, words
 
 LETTERS = byte_class(b"", (0x61, 0x7A), (0x80, 0xFF))
 ASCII_LETTERS = byte_class(b"", (0x41, 0x5A), (0x61, 0x7A))
@@ -80,11 +80,31 @@ def emissions(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
 
 
 def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Forward-backward over each row's words; first: of words(). Exact over whole rows: segments
-    of a row run side by side, joined by their transfer matrices."""
-    n, k = scores.shape
-    if not n:
+    """The probability of each state at each word of each row; first: of words()."""
+    if not len(scores):
         return scores.copy()
+    forward, backward, _, _ = forward_backward(scores, first, moves)
+    out = forward * backward
+    return out / out.sum(1, keepdims=True)
+
+
+def expected_moves(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marginals, expected number of moves from each state to each, over all rows). A pair's
+    probability is that of what comes before, of the move, and of what comes from the second on."""
+    forward, backward, e, t = forward_backward(scores, first, moves)
+    out = forward * backward
+    inner = np.ones(len(scores), bool)
+    inner[first[:-1][np.diff(first) > 0]] = False
+    here = np.flatnonzero(inner)
+    pair = forward[here - 1][:, :, None] * t[None] * (e[here] * backward[here])[:, None, :]
+    return out / out.sum(1, keepdims=True), (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+
+
+def forward_backward(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(forward and backward messages of each word, up to a factor for each; the weights of words and
+    of moves they are made of). Exact over whole rows: segments of a row run side by side, joined by
+    their transfer matrices. A row's first word has a move from all states alike."""
+    n, k = scores.shape
     e = np.exp(scores - scores.max(1, keepdims=True))
     t = np.exp(moves - moves.max())
     length = np.diff(first)
@@ -115,38 +135,41 @@ def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.nd
         back = place[start_of[pieces > j] + j - 1]
         x = np.einsum("skl,sl->sk", transfer[here], after[here])
         after[back] = x / x.sum(1, keepdims=True)
-    out = np.empty((n, k))
+    forward, backward = np.empty((n, k)), np.empty((n, k))
     state = start.copy()
     for i, m in enumerate(running.tolist()):
         x = state[:m] @ t * e[begin[:m] + i]
         state[:m] = x / x.sum(1, keepdims=True)
-        out[begin[:m] + i] = state[:m]
+        forward[begin[:m] + i] = state[:m]
     state = after.copy()
     for i in range(len(running) - 1, -1, -1):
         m = int(running[i])
         at = begin[:m] + i
-        out[at] *= state[:m]
+        backward[at] = state[:m]
         x = (state[:m] * e[at]) @ t.T
         state[:m] = x / x.sum(1, keepdims=True)
-    return out / out.sum(1, keepdims=True)
+    return forward, backward, e, t
 
 
-def sample(docs: DataFrame, text: str, lang: str, per_language: int, max_languages: int, stretch: int) -> list[tuple[str, str]]:
-    """About ``per_language`` stretches of each language, chosen by hash alone."""
+def sample(docs: DataFrame, text: str, lang: str, per_language: int, stretch: int) -> list[tuple[str, str]]:
+    """About ``per_language`` stretches of each language, chosen by hash alone: the first in the order
+    of a hash, should more be chosen than twice as many."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return []
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))))
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    stage = Stage(docs.sparkSession, "languages")
+    sizes = stage.write(rows.groupBy("lang").agg(F.count("*").alias("n")), "sizes")  # of a known size for the join
+    spot = F.pmod(F.xxhash64("doc_id", F.lit("spot")), F.lit(1 << 30))
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("at")), F.greatest(F.length("text") - stretch, F.lit(1)))
-    chosen = rows.where(spot < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20)).select("doc_id", "lang", F.substring("text", start.cast("int"), F.lit(stretch)).alias("text"))
-    return [(r["lang"], r["text"]) for r in sorted(chosen.limit(2 * per_language * len(sizes)).collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    piece = F.substring("text", start.cast("int"), F.lit(stretch))
+    chosen = rows.select("doc_id", "lang", spot.alias("spot"), piece.alias("text")).join(sizes, "lang").where(F.col("spot") < F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")) * (1 << 30))
+    n = sizes.count()
+    got = chosen.orderBy("spot", "doc_id", "lang", "text").limit(2 * per_language * n).select("doc_id", "lang", "text").collect() if n else []
+    stage.drop_all()
+    return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["lang"], r["text"]))]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 200, max_languages: int = 100, stretch: int = 2000, sequences: int = 1500, epochs: int = 4, lexicon_from: int = 5, seed: int = 11) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 200, stretch: int = 2000, sequences: int = 1500, epochs: int = 4, lexicon_from: int = 5, seed: int = 11) -> Model:
     """Fits the field by AdaGrad on the driver; the sample's size doesn't depend on the corpus."""
-    rows = sample(docs, text, lang, per_language, max_languages, stretch)
+    rows = sample(docs, text, lang, per_language, stretch)
     rng = np.random.default_rng(seed)
     languages = sorted({x for x, _ in rows})
     data, offsets = flat(pa.array([x.encode() for _, x in rows], pa.binary())) if rows else (np.empty(0, np.uint8), np.zeros(1, np.int64))
@@ -184,7 +207,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
             gram_word = np.repeat(np.arange(len(w)), n)
             scores = model.weights[kinds[w]].sum(1)
             np.add.at(scores, gram_word, model.weights[grams] / n[gram_word][:, None])
-            p = marginals(scores, f, model.moves)
+            p, expected = expected_moves(scores, f, model.moves)
             miss = -p
             miss[np.arange(len(w)), label[w]] += 1
             index = np.concatenate([kinds[w].ravel(), grams])
@@ -199,9 +222,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
             here = np.flatnonzero(inner)
             seen = np.zeros((k, k))
             np.add.at(seen, (label[w[here - 1]], label[w[here]]), 1)
-            joint = p[here - 1][:, :, None] * np.exp(model.moves)[None] * p[here][:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            gradient = seen - joint.sum(0) - 1e-2 * model.moves
+            gradient = seen - expected - 1e-2 * model.moves
             grow_moves += gradient**2
             model.moves += 0.3 * gradient / np.sqrt(grow_moves)
     return model
