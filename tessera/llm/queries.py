@@ -111,9 +111,9 @@ FROM j JOIN q ON j.source IS NOT DISTINCT FROM q.source
 WITH v AS (SELECT * FROM {_INTERVALS}),
   iv AS (SELECT * FROM (SELECT list, kind, value, action, day AS f, lead(day) OVER (PARTITION BY list, kind, value ORDER BY day, action) AS t FROM v) WHERE action = 'add' AND (t IS NULL OR t > f)),
   p AS (SELECT page_id, row_number() OVER () AS r, (DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER)) AS fetched,
-          nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1), '') AS host,
+          nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1), '') AS host,
           list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
-  k AS (SELECT r, 'domain' AS kind, array_to_string(string_split(host, '.')[i:], '.') AS value FROM (SELECT r, host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p WHERE host IS NOT NULL)
+  k AS (SELECT r, 'domain' AS kind, array_to_string(string_split(host, '.')[i:], '.') AS value FROM (SELECT r, host, unnest(range(1, CASE WHEN host LIKE '[%' THEN 2 ELSE len(string_split(host, '.')) + 1 END)) AS i FROM p WHERE host IS NOT NULL)
         UNION ALL SELECT r, 'prefix', array_to_string(list_concat([host], parts[1:i]), '/') FROM (SELECT r, host, parts, unnest(range(0, len(parts) + 1)) AS i FROM p WHERE host IS NOT NULL)),
   g AS (SELECT p.r, list_sort(list(DISTINCT concat_ws(':', iv.list, iv.kind, iv.value))) AS names FROM p JOIN k USING (r) JOIN iv ON iv.kind = k.kind AND iv.value = k.value AND p.fetched >= iv.f AND (iv.t IS NULL OR p.fetched < iv.t) GROUP BY p.r)
 SELECT page_id, host, strftime(fetched, '%Y-%m-%d') AS fetched, coalesce(len(names), 0) AS n_active, coalesce(array_to_string(names, ','), '') AS matched, names IS NOT NULL AS blocked FROM p LEFT JOIN g USING (r)

@@ -12,7 +12,8 @@ sort-merges with skewed keys split; rows of a hot host are never gathered, and m
 before they meet.
 
 Defined cases. Null or unreadable URL: no host, no keys, not blocked. Null fetch time: no entry is
-active. Repeated captures: a result each. Events of an entry at one time: ``remove`` comes after
+active; nor for a time that can't be read, and a list event with such a time is none. An IPv6 host is
+one key, in its brackets. Repeated captures: a result each. Events of an entry at one time: ``remove`` comes after
 ``add``. An empty list blocks nothing. Only the named columns are read.
 """
 
@@ -40,24 +41,24 @@ EVENTS = (
 
 
 def events_table(spark: SparkSession, events: Sequence[tuple[str, str, str, str, str]] = EVENTS) -> DataFrame:
-    return spark.createDataFrame(list(events), "list string, kind string, value string, action string, at string").withColumn("at", F.to_timestamp("at"))
+    return spark.createDataFrame(list(events), "list string, kind string, value string, action string, at string").withColumn("at", F.try_to_timestamp("at"))
 
 
 def intervals(events: DataFrame) -> DataFrame:
     """(list, kind, value, valid_from, valid_to) of the times in which an entry is active."""
     order = Window.partitionBy("list", "kind", "value").orderBy("at", "action")
-    return events.withColumn("at", F.col("at").cast("timestamp")).withColumn("valid_to", F.lead("at").over(order)).where("action = 'add' and (valid_to is null or valid_to > at)").select("list", "kind", "value", F.col("at").alias("valid_from"), "valid_to")
+    return events.withColumn("at", F.col("at").try_cast("timestamp")).where("at is not null").withColumn("valid_to", F.lead("at").over(order)).where("action = 'add' and (valid_to is null or valid_to > at)").select("list", "kind", "value", F.col("at").alias("valid_from"), "valid_to")
 
 
 def host_of(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+?)\.?(?::[0-9]*)?(?:[/?#]|$)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+?)\.?(?::[0-9]*)?(?:[/?#]|$)", 1), F.lit(""))
 
 
 def keys_of(url: Column) -> Column:
     """Array of (kind, value): domain keys from the host's labels, prefix keys from the path's."""
     host = host_of(url)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
-    labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda x: x != "")
+    labels, parts = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\.")), F.filter(F.split(path, "/"), lambda x: x != "")
     key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: key("domain", F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: key("prefix", F.concat_ws("/", F.array(host), F.slice(parts, F.lit(1), i))))
@@ -68,7 +69,7 @@ def url_filter(captures: DataFrame, events: DataFrame, id_column: str = "page_id
     """(page_id, host, fetched, n_active, matched, blocked) for each capture: the number of active
     entries that match, and their distinct ``list:kind:value`` in order, comma-joined. Times are
     timestamps; a date is its first instant."""
-    rows = captures.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(fetched).cast("timestamp").alias("fetched")).withColumn("row", F.monotonically_increasing_id())
+    rows = captures.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(fetched).try_cast("timestamp").alias("fetched")).withColumn("row", F.monotonically_increasing_id())
     keyed = rows.select("row", "page_id", "fetched", host_of(F.col("url")).alias("host"), F.explode_outer(keys_of(F.col("url"))).alias("key")).select("*", "key.kind", "key.value")
     active = intervals(events)
     joined = keyed.join(active, (keyed["kind"] == active["kind"]) & (keyed["value"] == active["value"]) & (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))), "left")
