@@ -2,14 +2,16 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_reuse, byte_bpe, chat, decontam, langid, license_scan, ngram_join, quality, queries, suffix_dedup, token_count, url_filter
+from tessera.llm import bpe_reuse, byte_bpe, chat, core, decontam, langid, license_scan, ngram_join, quality, queries, suffix_dedup, token_count, url_filter
 
 RNG = random.Random(17)
 VOCABULARY = ["".join(RNG.choice("abcdeéßü") for _ in range(RNG.randrange(1, 7))) for _ in range(60)]
@@ -364,3 +366,186 @@ def test_met_often_is_a_count_of_all_values():
         values, count = np.unique(found, return_counts=True)
         got = ngram_join.met_often(found.copy(), least)
         assert [x.tolist() for x in got] == [values[count >= least].tolist(), count[count >= least].tolist()]
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+def test_texts_that_collide_under_plain_rolling_hashes(spark, library):
+    """A Thue-Morse string and its complement have one value under any polynomial modulo 2**64."""
+    a = thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(i, t) for i, t in enumerate([a, b, a[:1024], b[:1024], f"{a} x y z w", f"{b} x y z w", f"{a}\n{b}\n{a} one\n", f"{'c' * 40}{a}{'d' * 40}", f"{'c' * 40}{b}{'d' * 40}"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    match(ngram_join.jaccard_components(frame).select("doc_id", "n_shingles", "component_id"), jaccard_brute(rows))
+    match(suffix_dedup.repeats(frame).drop("kept"), repeats_brute(rows))
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality(frame.withColumn("source", F.lit("h"))).collect()}[6] == 0
+    encoded = [(d, library.encode(t, add_special_tokens=False).ids) for d, t in rows]
+    got = {r.doc_id: r.ids_sha256 for r in bpe_reuse.encode(frame, queries.tokenizer(), mean=1 << 20).collect()}
+    assert got == {d: hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() for d, ids in encoded}
+
+
+def test_hashes_are_those_of_the_prime():
+    rng = np.random.default_rng(5)
+    prime, data = int(core.PRIME), rng.integers(0, 256, 300).astype(np.uint8)
+    a, b = rng.integers(0, prime, 500, dtype=np.uint64), rng.integers(0, prime, 500, dtype=np.uint64)
+    assert core.times(a, b).tolist() == [x * y % prime for x, y in zip(a.tolist(), b.tolist())]
+    want = [0]
+    for i, c in enumerate(data.tolist()):
+        want.append((want[-1] + (c + 1) * pow(core._BASE, i, prime)) % prime)
+    assert core.Hashes(data).sums.tolist() == want
+
+
+def test_a_chunk_whose_digest_is_another_ones(library):
+    bpe, text = byte_bpe.load(queries.tokenizer()), b"some words stand here, and some more of them there "
+    wrong = {7: np.array(bpe.encode("quite another chunk "), np.uint32)}
+    assert bpe_reuse.assemble(bpe, text, [(0, 23), (23, len(text))], wrong, [7, 7]).tolist() == library.encode(text.decode(), add_special_tokens=False).ids
+
+
+def test_repeats_of_another_length_and_kept_texts(docs):
+    got = suffix_dedup.repeats(docs, passage=60)
+    match(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), repeats_brute(texts()))
+    match(got.select("doc_id", "n_bytes", "passage_removed", "passage_spans"), [(d, n, gone, runs) for d, n, gone, runs, _ in repeats_brute(texts(), 60)])
+    for r in got.where("n_spans > 0").collect():
+        assert len(r.kept.encode()) <= r.n_bytes - r.n_removed
+    assert got.where("n_spans = 0 and kept is not null").count() == 0
+    with pytest.raises(ValueError):
+        suffix_dedup.Shape(8)
+
+
+def test_token_counts_of_texts_without_spaces(library):
+    rng, bpe = random.Random(3), byte_bpe.load(queries.tokenizer())
+    pools = [[chr(c) for c in range(0x4E00, 0x4E80)], [*map(chr, range(0x4E00, 0x4E40)), "\u3002", "\uff0c"], [chr(c) for c in range(0xE01, 0xE3A)], [*map(chr, range(0x430, 0x450)), " "], [*"ab1'<|>s \u3002\u4e2d\u00e9\n\u00a0\u3000 \u0663", "<|endoftext|>", "'s", "<|endof"]]
+    for pool in pools:
+        text = "".join(rng.choice(pool) for _ in range(6000))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert {token_count.count_spliced(bpe, text.encode(), chunk, overlap) for chunk, overlap in ((700, 8), (2000, 64), (50, 4))} == {len(want)}
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, _, digest = bpe_reuse.digests(data, np.array([0, len(data)]), 64)
+        assert bpe_reuse.assemble(bpe, text.encode(), list(zip(starts.tolist(), ends.tolist())), {}, digest.tolist()).tolist() == want
+
+
+def test_token_counts_take_time_in_proportion_to_the_text():
+    bpe, encoded = byte_bpe.load(queries.tokenizer()), []
+
+    class Counting:
+        lengths, special = bpe.lengths, bpe.special
+
+        def encode(self, text):
+            encoded.append(len(text))
+            return bpe.encode(text)
+
+    for n in (40_000, 160_000):
+        encoded.clear()
+        token_count.count_spliced(Counting(), "".join(chr(0x4E00 + i * i % 97) for i in range(n)).encode(), 1 << 12, 64)
+        assert sum(encoded) <= 8 * n
+
+
+def test_url_filter_of_unreadable_times_and_ipv6(spark):
+    events = url_filter.events_table(spark, [("l", "domain", "[2001:db8::1]", "add", "2024-01-01"), ("l", "domain", "b.org", "add", "31st of May"), ("l", "prefix", "[::1]/x", "add", "2024-01-01")])
+    rows = [(1, "http://[2001:DB8::1]:80/z", "2024-02-01"), (2, "http://b.org/", "2024-02-01"), (3, "http://[::1]/x/y", "2024-02-01"), (4, "http://[2001:db8::1]/", "yesterday")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, fetched string").withColumns({"host": F.lit("x"), "value": F.lit("x"), "list": F.lit("x"), "row": F.lit(1)})
+    match(url_filter.url_filter(frame, events).select("page_id", "matched"), [(1, "l:domain:[2001:db8::1]"), (2, ""), (3, "l:prefix:[::1]/x"), (4, "")])
+    assert url_filter.url_filter(frame.where("false"), events).count() == 0
+    assert url_filter.url_filter(frame, events.where("false")).where("blocked").count() == 0
+
+
+def test_gradient_of_the_moves_against_finite_differences():
+    rng = np.random.default_rng(1)
+    first, scores, moves = np.array([0, 0, 4, 5, 9]), rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
+
+    def log_sum(inner):
+        total = 0.0
+        for a, b in zip(first[:-1], first[1:]):
+            if b > a:  # a row's first word has a move from all states alike, which stays as it is
+                each = [np.log(np.exp(moves[:, path[0]]).sum()) + sum(scores[a + i, x] for i, x in enumerate(path)) + sum(inner[x, y] for x, y in zip(path, path[1:])) for path in itertools.product(range(3), repeat=b - a)]
+                total += np.logaddexp.reduce(each)
+        return total
+
+    got, expected = langid.expected_moves(scores, first, moves)
+    assert np.allclose(got, langid.marginals(scores, first, moves))
+    for i, j in itertools.product(range(3), repeat=2):
+        step = np.zeros((3, 3))
+        step[i, j] = 1e-5
+        assert abs((log_sum(moves + step) - log_sum(moves - step)) / 2e-5 - expected[i, j]) < 1e-6
+
+
+def test_language_query_holds_out_by_crc(spark):
+    rows = queries.op9_language_id(spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {r.doc_id for r in rows} == set(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    learned = {d.lang for d in docs.values() if d.lang is not None and zlib.crc32(str(d.doc_id).encode()) % 4 != 2}
+    assert all(r.lang_pred in learned | {"und"} and 0 <= r.score <= 1 for r in rows)
+    judged = [r.lang_pred == docs[r.doc_id].lang for r in rows if r.held_out and docs[r.doc_id].lang and len(docs[r.doc_id].text or "") > 40]
+    assert sum(judged) >= 0.9 * len(judged)
+
+
+def test_language_does_not_depend_on_more_columns_copies_or_order(spark):
+    rows = [(i, "ka to mi ka to" if i % 2 else "schl ung schl ung", "xx" if i % 2 else "yy") for i in range(40)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n", F.lit(3)).withColumn("spot", F.lit("x"))
+    one, two = langid.train(frame, sequences=100, epochs=1), langid.train(frame.orderBy(F.desc("doc_id")), sequences=100, epochs=1)
+    assert one.languages == two.languages == ["xx", "yy"] and np.array_equal(one.weights, two.weights)
+    test = spark.createDataFrame([(1, "ka ka", 1), (1, "ka ka", 1), (2, "", 1)], "doc_id long, text string, score int")
+    match(langid.predict(test, one).select("doc_id", "lang_pred"), [(1, "xx"), (1, "xx"), (2, "und")])
+    assert langid.predict(test.where("false"), one).count() == 0
+
+
+def test_leaks_of_very_short_items_with_edits(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(n, word(n)) for n in range(5, 12)]
+    rows = [(i, word(20) + t[:2] + "#" + t[3:] + word(20)) for i, t in items] + [(50, items[0][1]), (51, "")]
+    want = leaks_brute(rows, items)
+    assert len(want) >= 7 and {k: v for k, v in leaks_found(spark, rows, items).items()} == {k: v for k, v in want.items() if k[0] != 51}
+
+
+def test_leaks_do_not_depend_on_partitions_or_copies(spark):
+    rng = random.Random(13)
+    items = [(i, prose(25, rng).strip()) for i in range(12)]
+    rows = [(i, prose(rng.randrange(0, 60), rng) + edited(t, len(t) // 6, rng) + prose(20, rng)) for i, t in items] + [(100, items[3][1])] * 3 + [(101, prose(20_000, rng) + items[4][1] + prose(9000, rng)), (None, items[5][1]), (102, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit("x"), "start": F.lit(2), "distance": F.lit(None).cast("int")})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("y"))
+    results = [sorted(map(repr, (tuple(r) for r in decontam.leaks(frame.repartition(n), bench).collect()))) for n in (1, 7)]
+    assert results[0] == results[1] and sum(r.startswith("(100, 3, 0") for r in results[0]) == 3 and any(r.startswith("(101, 4, 0") for r in results[0]) and any(r.startswith("(None, 5, 0") for r in results[0])
+
+
+def test_patterns_are_those_of_one_at_a_time():
+    rng = random.Random(3)
+    texts_ = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 200))) for _ in range(40)]
+    data = bytes(rng.choice(b"abcd") for _ in range(4000))
+    item, start = np.array([rng.randrange(40) for _ in range(300)]), np.array([rng.randrange(3500) for _ in range(300)])
+    stop = start + np.array([rng.randrange(1, 400) for _ in range(300)])
+    best, end = decontam.Patterns(texts_).distances(np.frombuffer(data, np.uint8), item, start, stop)
+    for k in range(300):
+        assert decontam.best_place(texts_[item[k]], data[start[k] : stop[k]]) == (best[k], end[k])
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda key, default=None: None)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Conf)  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        core.shared_dir(Session)
+
+
+def test_very_long_conversation(spark):
+    frame = spark.range(30_000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text <| ', id) AS text", "1 AS piece")
+    got = chat.digests(chat.pieces(frame)).collect()
+    want = "".join(f"text <| {i}" for i in range(1, 30_000, 2))
+    assert [(r.conv_id, r.n_turns, r.loss_chars, r.loss_sha256) for r in got] == [(7, 30_000, len(want), hashlib.sha256(want.encode()).hexdigest())]
+
+
+def test_licences_with_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "MIT License", 9)], "doc_id long, text string, n_words int").withColumns({"labels": F.lit(1), "score": F.lit("x")})
+    match(license_scan.scan(frame).select("doc_id", "n_words", "base_labels"), [(1, 2, "mit")])
