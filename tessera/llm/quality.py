@@ -54,7 +54,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     cuts = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate([offsets[:-1], cuts + 1]))
     begin = begin[begin < len(data)]
-    stop = np.append(begin[1:], len(data))
+    stop = np.append(begin[1:], len(data))[: len(begin)]
     stop = stop - (data[stop - 1] == 10) if len(stop) else stop
     row = np.searchsorted(offsets, begin, "right") - 1
     with_word = np.searchsorted(starts, begin) < np.searchsorted(starts, stop)
@@ -88,7 +88,7 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", min_words
     stage = Stage(docs.sparkSession, "quality")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     soft = (100 * F.col("n_symbols") > symbol_percent * F.col("word_chars")) | (100 * F.col("n_dup_lines") > dup_lines_percent * F.col("n_words"))
-    # salted by the document, so that no host's rows meet before they are summed
+    # a host's failures are summed in each task before they meet
     judged = stage.write(counts(docs, text, host).withColumn("base_failed", base).withColumn("soft_failed", soft), "counts")
     rates = host_rates(judged)
     back = judged.join(rates.select("host", "host_rate"), judged["host"].eqNullSafe(rates["host"]), "left").drop(rates["host"])
