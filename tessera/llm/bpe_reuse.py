@@ -126,9 +126,10 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", mean: int = 1024
     shared = stage.write(refs.groupBy("digest").agg(F.sum("n").alias("n"), F.min("doc_id").alias("owner")).where("n > 1 and owner is not null"), "shared")
     owned = shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("digest").alias("owned"))
     texts = thinned(docs, "doc_id", bloom(shared.select(F.col("owner").alias("doc_id")), "doc_id"))
-    encoded = stage.write(texts.join(owned, "doc_id").mapInArrow(encode_owned, "digest long, ids binary").dropDuplicates(["digest"]), "encoded")
+    encoded = stage.write(texts.join(owned.hint("merge"), "doc_id").mapInArrow(encode_owned, "digest long, ids binary").dropDuplicates(["digest"]), "encoded")
     wanted = stage.write(refs.where("doc_id is not null").join(shared.select("digest"), "digest").select("digest", "doc_id"), "wanted")
+    stage.drop("refs", "shared")
     bits = bloom(wanted, "doc_id")
     known = wanted.join(encoded, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "ids")).alias("known"))
-    with_shared = thinned(docs, "doc_id", bits).join(known, "doc_id", "left").mapInArrow(finish, schema)
-    return thinned(docs, "doc_id", bits, inside=False).mapInArrow(finish, schema).unionByName(with_shared)
+    with_shared = thinned(docs, "doc_id", bits).join(known.hint("merge"), "doc_id", "left").mapInArrow(finish, schema)
+    return thinned(docs, "doc_id", bits, inside=False, then=finish, schema=schema).unionByName(with_shared)

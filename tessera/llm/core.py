@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
 U = np.uint64
@@ -366,17 +366,22 @@ def bloom(ids: DataFrame, column: str, bits: int = 1 << 22) -> np.ndarray:
     return out
 
 
-def thinned(df: DataFrame, column: str, bits: np.ndarray, inside: bool = True) -> DataFrame:
+def may_hold(table: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Whether each id may be in the set; a null isn't."""
+    slot = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False) % (len(table) * 64)
+    return ((table[slot // 64] >> (slot % 64)) & 1 == 1) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
+
+
+def thinned(df: DataFrame, column: str, bits: np.ndarray, inside: bool = True, then=None, schema=None) -> DataFrame:
     """The rows of ``df`` whose id may be in the set, or (inside=False) all others, those without
-    an id included. Both together are all rows."""
+    an id included. Both together are all rows. ``then``: a step for mapInArrow to ``schema``, which
+    runs in the same Python worker: a stage with two such steps would hold two workers for a task.
+    (For that, a join between two steps is a merge join, whose sides end a stage.)"""
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
     def keep(batches):
-        table = shared.value
         for batch in batches:
-            ids = batch.column(column)
-            slot = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False) % (len(table) * 64)
-            hit = ((table[slot // 64] >> (slot % 64)) & 1 == 1) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
+            hit = may_hold(shared.value, batch.column(column))
             yield batch.filter(pa.array(hit if inside else ~hit))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(keep, df.schema) if then is None else df.mapInArrow(lambda batches: then(keep(batches)), schema)

@@ -41,7 +41,7 @@ RESULT = "doc_id long, item_id long, distance long, similarity double, start lon
 #: about n / 2 bytes.
 LADDER = ((32, 16), (24, 12), (16, 8), (10, 6))
 REPETITIONS = 3
-TABLE, RUN, HITS, LANES, SLICE = 20, 1 << 14, 1 << 20, 1 << 12, 1 << 21
+TABLE, RUN, HITS, LANES = 20, 1 << 14, 1 << 20, 1 << 12
 PAD = LADDER[0][0]  # zeros after each row, so that no walk reaches the next
 
 
@@ -448,7 +448,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 3 else pa.int64()) for k, c in enumerate(zip(*out))], names=["doc_id", "item_id", "distance", "similarity", "start", "stop"])
 
-            for rows, raw, raw_offsets in slices(batches, "text", SLICE) if known.texts else ():
+            for rows, raw, raw_offsets in slices(batches, "text") if known.texts else ():
                 yield from told(search.add(rows.column("doc_id").to_pylist(), raw, raw_offsets))
             yield from told(search.close())
 

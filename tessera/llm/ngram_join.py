@@ -269,8 +269,8 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
 
     bits = bloom(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     texts = thinned(docs, "doc_id", bits)
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 

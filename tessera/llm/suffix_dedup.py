@@ -143,8 +143,9 @@ class IndexFamily:
         self.stage.drop(*(name for _, name, _ in self.levels))
 
 
-def _texts(docs: DataFrame, bits: np.ndarray | None = None, inside: bool = True) -> DataFrame:
-    """The rows, with ``rid``, whose id may be in the set (or, inside=False, the others)."""
+def _texts(docs: DataFrame, bits: np.ndarray, inside: bool = True, then=None, schema=None) -> DataFrame:
+    """The rows, with ``rid``, whose id may be in the set (or, inside=False, the others); inside, then
+    and schema as for thinned()."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(parts):
@@ -155,6 +156,8 @@ def _texts(docs: DataFrame, bits: np.ndarray | None = None, inside: bool = True)
             hit = (table[slot // 64] >> (slot % 64)) & 1 == 1
             yield rows.append_column("rid", pa.array(rid)).filter(pa.array(hit if inside else ~hit))
 
+    if then is not None:
+        return docs.mapInArrow(lambda parts: then(run(parts)), schema)
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("rid", T.LongType())]))
 
 
@@ -244,7 +247,7 @@ def repeated_spans(docs: DataFrame, stage: Stage, batches: int, length: int) ->
     asked = stage.write(kinds.join(differ, "key").select("key", "digest", (F.col("n") == 1).alias("single"), "one.*", (F.col("kinds") > HOT).alias("hot")), "asked")
     texts = _texts(docs.select("doc_id", "text"), bloom(asked, "rid", BITS)).drop("doc_id")
     for_text = asked.groupBy("rid").agg(F.collect_list(F.struct("key", "digest", "single", "lo", "hi")).alias("asked"))
-    contexts = texts.join(for_text, "rid").mapInArrow(lambda parts: _contexts(parts, length), CONTEXT)
+    contexts = texts.join(for_text.hint("merge"), "rid").mapInArrow(lambda parts: _contexts(parts, length), CONTEXT)
     out = whole
     hot = asked.where("hot").select("key").distinct()
     if hot.isEmpty():
@@ -272,9 +275,9 @@ def cut(body: np.ndarray, spans: list[dict] | None) -> tuple[np.ndarray, int]:
     return body[~gone], int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
 
 
-def with_spans(docs: DataFrame, batches: int, lengths: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    """(rows that may hold repeats, with ``spans``: start, stop and of which length; all others) of docs
-    (doc_id long, text string and any other columns but rid, spans)."""
+def with_spans(docs: DataFrame, batches: int, lengths: tuple[int, ...]) -> tuple[DataFrame, np.ndarray]:
+    """(rows that may hold repeats, with ``spans``: start, stop and of which length; the bit set of
+    their ids) of docs (doc_id long, text string and any other columns but rid, spans)."""
     stage = Stage(docs.sparkSession, "suffix")
     spans = None
     for length in lengths:
@@ -283,7 +286,7 @@ def with_spans(docs: DataFrame, batches: int, lengths: tuple[int, ...]) -> tuple
         spans = own if spans is None else spans.unionByName(own)
     bits = bloom(spans, "rid", BITS)
     by_row = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop", "length")).alias("spans"))
-    return _texts(docs, bits).join(by_row, "rid", "left").drop("rid"), _texts(docs, bits, inside=False).drop("rid")
+    return _texts(docs, bits).join(by_row.hint("merge"), "rid", "left").drop("rid"), bits
 
 
 def repeats(docs: DataFrame, text: str = "text", batches: int = 4, length: int = LENGTH, passage: int | None = None) -> DataFrame:
@@ -307,8 +310,9 @@ def repeats(docs: DataFrame, text: str = "text", batches: int = 4, length: int =
                     out[-1] += (len(body) - len(rest), runs)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in result.split(", ")])
 
-    hit, rest = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), batches, tuple({length: 0, (passage or length): 0}))
-    return hit.mapInArrow(digest, result).unionByName(rest.mapInArrow(digest, result))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    hit, bits = with_spans(docs, batches, tuple({length: 0, (passage or length): 0}))
+    return hit.mapInArrow(digest, result).unionByName(_texts(docs, bits, inside=False, then=digest, schema=result))
 
 
 def without_repeats(docs: DataFrame, batches: int = 4, length: int = LENGTH) -> DataFrame:
@@ -323,5 +327,5 @@ def without_repeats(docs: DataFrame, batches: int = 4, length: int = LENGTH) ->
             fresh = pc.if_else(pc.is_valid(rows.column("text")), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([fresh if f.name == "text" else rows.column(f.name) for f in schema], names=schema.names)
 
-    hit, rest = with_spans(docs, batches, (length,))
-    return hit.mapInArrow(strip, schema).unionByName(rest)
+    hit, bits = with_spans(docs, batches, (length,))
+    return hit.mapInArrow(strip, schema).unionByName(_texts(docs, bits, inside=False).drop("rid"))
