@@ -31,14 +31,6 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return thinned(docs, "row", bits, inside=False).unionByName(thinned(docs, "row", bits).join(gone.distinct(), "row", "left_anti").select(*COLUMNS, "row")).select(*COLUMNS)
 
 
-def once(docs: DataFrame, stage: Stage) -> DataFrame:
-    """``docs`` with one of the rows that are alike in all columns."""
-    docs = keyed(docs)
-    again = stage.write(docs.groupBy("row").count().where("count > 1").select("row"), "again")
-    bits = bloom(again, "row")
-    return thinned(docs, "row", bits, inside=False).select(*COLUMNS).unionByName(thinned(docs, "row", bits).select(*COLUMNS).distinct())
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality.quality(judged_rows(docs)).where("not kept").select(F.col("doc_id").alias("row"))
@@ -56,7 +48,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = thinned(keyed(docs).select("row", "doc_id"), "row", bloom(members, "row")).distinct().join(members, "row")
     kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")).select("first.row")
     gone = stage.write(members.select("row").join(kept, "row", "left_anti"), "gone")
-    return once(without(docs, gone), stage)
+    docs = keyed(docs)
+    again = stage.write(docs.groupBy("row").count().where("count > 1").select("row"), "again")
+    bits = bloom(gone.unionByName(again), "row")
+    once = thinned(docs, "row", bits).join(gone, "row", "left_anti").select(*COLUMNS).distinct()
+    return thinned(docs, "row", bits, inside=False).select(*COLUMNS).unionByName(once)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
