@@ -1,8 +1,17 @@
 """Pipeline stages: decisions take effect, and clean documents come through as they are."""
 
+import collections
+import hashlib
+import itertools
 import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+from tessera.llm import decontam, queries, suffix_dedup
 
 
 def test_stages(spark, tmp_path):
@@ -60,3 +69,85 @@ def test_decisions_are_by_row(spark, tmp_path):
     assert left(cp.quality_rules, rows) == want([(1, a), (None, b)])
     rows = [(1, a), (1, a + " " + item), (None, b), (None, item)]
     assert left(cp.benchmark_passages, rows) == want([(1, a), (None, b)])
+
+
+def brute(rows, items):
+    """The whole pipeline on (doc_id, text, source), one document at a time or by all pairs."""
+    words = lambda t: re.findall(r"[^ \t-\r]+", t or "")
+
+    def failures(t):
+        w, lines, dup = words(t), set(), 0
+        grams = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        again = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
+        for line in (t or "").split("\n"):
+            if words(line):
+                dup += line in lines
+                lines.add(line)
+        signs = sum(c in "#*$%&|<>" for c in t or "")
+        return len(w) < 10 or 100 * len(again) > 20 * len(w), 100 * signs > 10 * sum(map(len, w)) or 100 * dup > 30 * len(w)
+
+    judged = [(r, *failures(r[1])) for r in rows]
+    hosts = collections.defaultdict(lambda: [0, 0])
+    for r, base, soft in judged:
+        hosts[r[2]][0] += 1
+        hosts[r[2]][1] += base or soft
+    n, failed = map(np.array, zip(*hosts.values()))
+    mean = failed.sum() / n.sum()
+    noise = mean * (1 - mean) * (1 / n).mean()
+    strength = min(max(mean * (1 - mean) / max(np.var(failed / n, ddof=1) - noise, 1e-6) - 1, 1.0), 1e6)
+    bad = {h: (f + mean * strength) / (k + strength) > 0.5 for h, (k, f) in hosts.items()}
+    rows = [r for r, base, soft in judged if not base and not (bad[r[2]] and soft)]
+    sets = []
+    for _, t, _ in rows:
+        w = words((t or "").encode().lower().decode())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    groups = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[find(i)].append(r)
+    rows = [min(g) for g in groups.values()]
+    data, size = [(t or "").encode() for _, t, _ in rows], suffix_dedup.PASSAGE
+    seen = collections.Counter(t[i : i + size] for t in data for i in range(len(t) - size + 1))
+    left = []
+    for (d, _, _), t in zip(rows, data):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - size + 1):
+            if seen[t[i : i + size]] > 1:
+                gone[i : i + size] = True
+        left.append((d, bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore")))
+    items = [decontam.fold_text(t) for t in items]
+    leak = lambda t: any(decontam.best_place(x, decontam.fold_text(t))[0] <= int(0.2 * len(x) + 1e-9) for x in items if x)
+    library, out = Tokenizer.from_file(queries.tokenizer()), []
+    for d, t in left:
+        if not leak(t):
+            ids = library.encode(t, add_special_tokens=False).ids
+            out.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()))
+    return sorted(out)
+
+
+def test_run_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    want = brute(rows, items)
+    assert 50 < len(want) < len(rows)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in cp.run(spark, folder).collect()) == want
+
+
+def test_run_on_empty_and_repeated_rows(spark, tmp_path):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60))
+    for name, rows in (("empty", []), ("repeated", [(1, text)] * 3 + [(None, None)] * 2)):
+        table(spark, rows).withColumn("row", F.lit(1)).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        assert [r.doc_id for r in cp.run(spark, str(tmp_path / name)).collect()] == [1] * (len(rows) > 0)
