@@ -197,7 +197,16 @@ def reach(sigs: Signatures, first: int, size: int, percent: int) -> list[tuple[i
 
 def candidate_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
     """Distinct pairs a < b of classes. lists: token, blk, cls, n, sig, comp, together and in order
-    of (token, blk, cls). every: all passing pairs of two components, else a joining part."""
+    of (token, blk, cls). every: all passing pairs of two components, each in the first list that both
+    are in (tokens: all lists of a row's class, in order), else a joining part."""
+
+    def first_here(bounds, values, i, j, token):
+        """Of the rows j, those that share no earlier list with row i."""
+        own = values[bounds[i] : bounds[i + 1]]
+        own, n = own[own < token], bounds[j + 1] - bounds[j]
+        at = np.repeat(bounds[j] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        met = np.bincount(np.repeat(np.arange(len(j)), n), np.isin(values[at], own), len(j))
+        return j[met == 0]
 
     def run(batches):
         for table in whole_groups(batches, ["token", "blk"]):
@@ -207,6 +216,10 @@ def candidate_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
             new[1:] = (token[1:] != token[:-1]) | (blk[1:] != blk[:-1])
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(token)))
+            if every:
+                lists_of = table["tokens"].combine_chunks()
+                lists_of = lists_of if isinstance(lists_of, pa.Array) else lists_of.chunk(0)
+                bounds, values = lists_of.offsets.to_numpy(), lists_of.values.to_numpy()
             pairs = []
             for f, s in zip(first.tolist(), size.tolist()):
                 if every:
@@ -214,6 +227,7 @@ def candidate_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
                         j = np.arange(i + 1, f + s)
                         j = j[comp[j] != comp[i]]
                         j = j[sigs.pass_on(np.full(len(j), i), j, percent)]
+                        j = first_here(bounds, values, i, j, token[i]) if len(j) else j
                         pairs.append(np.stack([np.full(len(j), cls[i]), cls[j]], 1))
                 elif found := reach(sigs, f, s, percent):
                     pairs.append(cls[np.array(found)])
@@ -222,7 +236,7 @@ def candidate_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
                 found = found[found[:, 0] != found[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    return lists.select("token", "blk", "cls", "n", "comp", "sig").mapInArrow(run, "a long, b long").distinct()
+    return lists.select("token", "blk", "cls", "n", "comp", "sig", *(["tokens"] if every else [])).mapInArrow(run, "a long, b long").distinct()
 
 
 def pairs_of_few(lists: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -319,13 +333,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, percent:
         blocks = F.ceil(F.col("size") / BLOCK).cast("long")
         where = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("token", "cls"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
         split = again.join(share, "token").withColumn("blk", F.explode(where)).select("token", "blk", "cls", "n", "comp")
-        more = candidate_pairs(split.join(sigs, ["cls", "n"]).repartition("token", "blk").sortWithinPartitions("token", "blk", "cls"), percent, every=True)
+        own_lists = stage.write(again.groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("tokens")), "own-lists")  # a prefix's length at most
+        more = candidate_pairs(split.join(sigs, ["cls", "n"]).join(own_lists, "cls").repartition("token", "blk").sortWithinPartitions("token", "blk", "cls"), percent, every=True)
         more = stage.write(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             links = links.unionByName(stage.write(verify(docs, more, k, percent), "judged-again").where("linked").select("a", "b"))
             found = components(stage, links, "all-links")
     found = stage.write(found, "found")
-    stage.drop("lists", "again", "dirty", "judged", "more", "judged-again")
+    stage.drop("lists", "again", "own-lists", "dirty", "judged", "more", "judged-again")
     of_class = classes.select("n", "d1", "d2", "cls").join(found.withColumnRenamed("id", "cls"), "cls", "left").select("n", "d1", "d2", "cls", F.coalesce("component", "cls").alias("component"))
     out = sets.select("doc_id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
