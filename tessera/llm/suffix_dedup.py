@@ -43,7 +43,7 @@ LENGTH = 400
 #: Shorter than 50 words of prose are in any of the languages at hand (a word and its space have six
 #: bytes or so), so that a passage of over 50 words holds strings of this length.
 PASSAGE = 240
-HOT = 512
+HOT = 4096
 BITS = 1 << 24
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
