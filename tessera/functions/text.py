@@ -3,6 +3,7 @@ null unless a function says otherwise."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -137,6 +138,13 @@ def render_html(text: Column) -> Column:
     return F.regexp_replace(html_escape(text), r"\*\*(.+?)\*\*", "<strong>$1</strong>")
 
 
+def highlighted(shown: Column, query: str | None) -> Column:
+    """HTML with every place of ``query``, whatever its case, marked; unchanged for an empty query."""
+    if not query:
+        return shown
+    return F.regexp_replace(shown, "(?iu)(" + re.escape(query) + ")", "<mark>$1</mark>")
+
+
 def without_marks(text: Column) -> Column:
     """Without the diacritics that the review tool ignores (no letter is folded)."""
     return F.regexp_replace(text, f"[{REVIEW_MARKS}]", "")

@@ -65,6 +65,24 @@ def longest_run(texts: DataFrame, reference: DataFrame, corpus: str, spec: tx.No
     return texts.select("id").join(best, "id", "left").withColumn("longest", F.coalesce("longest", F.lit(0)))
 
 
+def substring_exact(spans: DataFrame, corpus: DataFrame, spec: tx.NormSpec = tx.ARABIC) -> DataFrame:
+    """(id, corpus, seq): the records whose normalised text has a span of two words or more in it, which
+    may begin and end inside a word. A span's inner words are whole words of the record, so spans of
+    three words or more meet the records on their longest inner word; of two words, on the first, which
+    ends a word of the record, and then on the next word's beginning. A span's id is its own."""
+    normed = tx.norm(F.col("text"), spec)
+    words = spans.select("id", normed.alias("normed")).withColumn("w", tx.tokens(F.col("normed"))).where(F.size("w") >= 2)
+    records = corpus.select("corpus", "seq", normed.alias("record"))
+    longest = F.array_max(F.transform(F.slice("w", 2, F.size("w") - 2), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    whole = records.select("corpus", "seq", "record", F.explode(F.array_distinct(tx.tokens(F.col("record")))).alias("key"))
+    more = words.where(F.size("w") > 2).withColumn("key", longest).join(whole, "key").where(F.contains("record", "normed"))
+    r = tx.tokens(F.col("record"))
+    couples = records.select("corpus", "seq", F.explode(F.array_distinct(F.zip_with(r, F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y"))))).alias("c")).where("c.y is not null")
+    ends = couples.select("corpus", "seq", F.col("c.y").alias("after"), F.explode(F.transform(F.sequence(F.lit(1), F.length("c.x")), lambda i: F.right(F.col("c.x"), i))).alias("key"))
+    two = words.where(F.size("w") == 2).withColumn("key", F.get("w", F.lit(0))).join(ends, "key").where(F.startswith("after", F.get("w", F.lit(1))))
+    return more.select("id", "corpus", "seq").unionByName(two.select("id", "corpus", "seq")).distinct()
+
+
 def exact(spans: DataFrame, corpus: DataFrame, reference: DataFrame, tag: str, spec: tx.NormSpec = tx.ARABIC, least_run: int = 3, across: bool = True) -> DataFrame:
     """(id, exact): a run of ``least_run`` grams, or two words or more that stand in the corpus's
     normalised text, joined over records in order (across) or within one.
@@ -72,9 +90,13 @@ def exact(spans: DataFrame, corpus: DataFrame, reference: DataFrame, tag: str, s
     The substring test is for spans without the run only, and for those of fewer than K + 2 words: a
     longer one within a record has the run. Across records it runs over one joined text."""
     runs = longest_run(spans, reference, tag, spec)
-    open_ = spans.join(runs.where(F.col("longest") < least_run), "id").select("id", tx.norm(F.col("text"), spec).alias("normed")).where(F.size(tx.tokens(F.col("normed"))) >= 2)
-    own = corpus.where(F.col("corpus") == tag).select("seq", tx.norm(F.col("text"), spec).alias("record"))
+    short = spans.join(runs.where(F.col("longest") < least_run), "id").select("id", "text")
+    own = corpus.where(F.col("corpus") == tag)
     if across:  # one row
+        own = own.select("seq", tx.norm(F.col("text"), spec).alias("record"))
         own = own.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "record"))), lambda x: x["record"]), " ").alias("record"))
-    hit = open_.join(own, F.col("record").contains(F.col("normed")), "left_semi").select("id", F.lit(True).alias("found"))
+        open_ = short.select("id", tx.norm(F.col("text"), spec).alias("normed")).where(F.size(tx.tokens(F.col("normed"))) >= 2)
+        hit = open_.join(own, F.col("record").contains(F.col("normed")), "left_semi").select("id", F.lit(True).alias("found"))
+    else:
+        hit = substring_exact(short, own, spec).select("id", F.lit(True).alias("found")).distinct()
     return runs.join(hit, "id", "left").select("id", ((F.col("longest") >= least_run) | F.coalesce("found", F.lit(False))).alias("exact"))

@@ -34,3 +34,47 @@ def f1() -> Column:
 def macro_f1(counts: DataFrame, by: list[str]) -> DataFrame:
     """Unweighted mean over the fixed labels."""
     return counts.withColumn("f1", f1()).groupBy(*by).agg((F.sum("f1") / F.count("*")).alias("macro_f1"))
+
+
+def of_kind(pairs: DataFrame, wanted: str | None = None, kind: str = "source_type") -> DataFrame:
+    """The pairs whose gold span has the kind ``wanted``; all of them without one."""
+    return pairs.where(F.col(kind) == wanted) if wanted else pairs
+
+
+def scorecard(pairs: DataFrame, labels: list[str], kinds: list[str], by: str = "model", kind: str = "source_type") -> DataFrame:
+    """A row for each model: macro F1 of all pairs and of each kind (null where there are none) and F1
+    of each label, best model first."""
+    slices = F.array(F.lit("all"), F.when(F.col(kind).isin(kinds), F.col(kind)))
+    sliced = pairs.select(by, "g", "p", F.explode(F.array_compact(slices)).alias("slice"))
+    scored = label_counts(sliced, labels, [by, "slice"]).withColumn("f1", f1())
+    macro = [F.avg(F.when(F.col("slice") == s, F.col("f1"))).alias(f"macro_f1_{s}") for s in ("all", *kinds)]
+    own = [F.max(F.when((F.col("slice") == "all") & (F.col("label") == x), F.col("f1"))).alias(f"f1_{x}") for x in labels]
+    return scored.groupBy(by).agg(*macro, *own).orderBy(F.desc_nulls_last("macro_f1_all"), by)
+
+
+def label_matrix(scores: DataFrame, by: str = "model") -> DataFrame:
+    """A scorecard's F1 columns under the labels' names."""
+    return scores.select(by, *(F.col(f"`{c}`").alias(c.removeprefix("f1_")) for c in scores.columns if c.startswith("f1_")))
+
+
+def agreement(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """total, agree, rate (null for no pairs) and ``confusion``, a map of "gold|predicted" to counts in
+    order of the keys; one entry for each pair of labels that occurs."""
+    n = pairs.groupBy(*by, "g", "p").agg(F.count("*").alias("n"))
+    key = F.concat_ws("|", F.coalesce("g", F.lit("None")), F.coalesce("p", F.lit("None"))).alias("key")
+    agree = F.sum(F.when(F.col("g").eqNullSafe(F.col("p")), F.col("n")).otherwise(0))
+    sums = n.groupBy(*by).agg(F.sum("n").alias("total"), agree.alias("agree"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("confusion"))
+    return sums.withColumn("rate", F.try_divide("agree", "total"))
+
+
+def type_counts(spans: DataFrame, listed: list[str], kind: str = "type") -> DataFrame:
+    """Spans by type: the listed types, 0 where there are none, and others as they are found."""
+    zero = spans.sparkSession.createDataFrame([(x, 0) for x in listed], f"{kind} string, n long")
+    return spans.groupBy(kind).agg(F.count("*").alias("n")).unionByName(zero).groupBy(kind).agg(F.sum("n").alias("n"))
+
+
+def label_columns(spans: DataFrame, by: list[str], labels: list[str], label: str = "label") -> DataFrame:
+    """A count for each listed label, ``other`` for the rest, and ``shown``, the sum of the listed."""
+    count = lambda where, name: F.count_if(F.coalesce(where, F.lit(False))).alias(name)
+    known = F.coalesce(F.col(label).isin(labels), F.lit(False))
+    return spans.groupBy(*by).agg(*(count(F.col(label) == x, x) for x in labels), count(~known, "other"), count(known, "shown"))

@@ -6,7 +6,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
 
 
 def retried(call: Callable, waits: tuple[float, ...] = (2, 4), sleep: Callable = time.sleep):
@@ -55,3 +58,22 @@ def generate(rows: DataFrame, call: Callable[[list], list], size: int = 128) ->
                 yield pd.DataFrame({"id": part["id"], "answer": answered(list(part["prompt"]))})
 
     return rows.select("id", "prompt").mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, answer string")
+
+
+AXES = "category string, difficulty int, divergence int"
+
+
+def question_labels(raw: Column) -> Column:
+    """(category, difficulty, divergence, error) of a reply: all three or, with an error, none. The two
+    grades are from 1 to 5."""
+    parsed = lambda json: F.from_json(json, AXES)
+
+    def judged(x):
+        error = F.when(x.isNull(), "ValueError: no JSON in the reply")
+        for axis in ("category", "difficulty", "divergence"):
+            error = error.when(x[axis].isNull(), f"ValueError: no {axis} in the reply")
+        for axis in ("difficulty", "divergence"):
+            error = error.when(~x[axis].between(1, 5), f"ValueError: {axis} out of range")
+        return tx.let(error, lambda e: F.struct(*(F.when(e.isNull(), x[axis]).alias(axis) for axis in ("category", "difficulty", "divergence")), e.alias("error")))
+
+    return tx.let(parsed(tx.find_json(raw)), judged)

@@ -37,3 +37,8 @@ def merge_latest(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     both = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
     latest = Window.partitionBy(key).orderBy(F.desc("age"))
     return both.withColumn("rank", F.row_number().over(latest)).where("rank = 1").drop("rank", "age")
+
+
+def merge_in_order(questions: DataFrame, old: DataFrame, new: DataFrame, key: str = "id", place: str = "place") -> DataFrame:
+    """``merge_latest`` in the questions' order; results of no question and questions without a result go."""
+    return questions.select(place, key).join(merge_latest(old, new, key), key).orderBy(place)

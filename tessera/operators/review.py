@@ -69,3 +69,20 @@ def export(spans: DataFrame) -> DataFrame:
     one = F.struct(F.col("span_idx"), F.struct("type", fixed("text").alias("text"), fixed("start").alias("start"), fixed("end").alias("end"), "status", F.when(F.col("added"), True).alias("added")).alias("span"))
     rows = spans.groupBy(F.col("prompt_id").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("x"))
     return rows.select("id", F.transform("x", lambda r: r["span"]).alias("spans"))
+
+
+def preview(text: Column, size: int = 10) -> tuple[Column, Column]:
+    """(head, tail): the first and the last ``size`` characters."""
+    return F.left(text, F.lit(size)).alias("head"), F.right(text, F.lit(size)).alias("tail")
+
+
+def search(rows: DataFrame, word: str | None, columns: list[str]) -> DataFrame:
+    """Rows that have ``word`` in one of the columns, whatever its case and outer white space; all rows
+    for an empty one."""
+    wanted = (word or "").strip().lower()
+    if not wanted:
+        return rows
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(wanted)), F.lit(False))
+    return rows.where(hit)

@@ -106,6 +106,22 @@ def exact_rowwise(spark, sf_dir):
     return cp.exact(spans(spark, sf_dir), corpus(spark, sf_dir), reference(spark, sf_dir), "h", LATIN, across=False)
 
 
+_ENDS = f"""st AS (SELECT id, list_filter(string_split(part, ' '), lambda x: x <> '') AS w FROM (SELECT doc_id AS id, unnest(string_split(text, '.')) AS part FROM documents)),
+  sp AS (SELECT id, array_to_string(w[1:3], ' ') AS span FROM st UNION ALL SELECT id, array_to_string(w[greatest(len(w) - 1, 1):], ' ') FROM st)"""
+
+
+@query(f"""WITH {_ENDS}, sw AS (SELECT DISTINCT id, {_WORDS.format('span')} AS l FROM sp), rec AS (SELECT item_id, array_to_string({_WORDS.format('text')}, ' ') AS r FROM benchmark)
+SELECT sw.id, item_id AS seq, count(*) AS spans FROM sw JOIN rec ON len(l) >= 2 AND contains(rec.r, array_to_string(l, ' ')) GROUP BY sw.id, item_id""")
+def substring_exact(spark, sf_dir):
+    """Spans: the first three and the last two words of every sentence."""
+    words = F.filter(F.split("part", " "), lambda x: x != "")
+    parts = texts(spark, sf_dir).select("id", F.explode(F.split("text", r"\.")).alias("part")).select("id", words.alias("w"))
+    ends = F.array(F.slice("w", 1, 3), F.slice("w", F.greatest(F.size("w") - 1, F.lit(1)), 2))
+    named = parts.select("id", F.explode(ends).alias("w")).select("id", tx.norm(F.array_join("w", " "), LATIN).alias("text")).distinct()
+    found = cp.substring_exact(named.select(F.struct("id", "text").alias("id"), "text"), corpus(spark, sf_dir), LATIN)
+    return found.groupBy("id.id", "seq").agg(F.count("*").alias("spans"))
+
+
 @query(f"""WITH {_DOC}, t AS (SELECT id, sum(CASE WHEN tag = 'q' THEN 1 ELSE 0 END) AS q, sum(CASE WHEN tag = 'h' THEN 1 ELSE 0 END) AS h, sum(words) AS c FROM run WHERE words >= 6 GROUP BY id)
 SELECT d.source, sum(len(l))::BIGINT AS words, coalesce(sum(q), 0)::BIGINT AS q_passages, coalesce(sum(h), 0)::BIGINT AS h_passages, coalesce(sum(c), 0)::BIGINT AS covered,
   (sum(len(l)) // count(*))::BIGINT AS words_per_text FROM w JOIN documents d ON d.doc_id = w.id LEFT JOIN t USING (id) GROUP BY d.source""")
@@ -116,14 +132,15 @@ def citation_report(spark, sf_dir):
     return docs.join(found, "id", "left").groupBy("source").agg(F.sum("n").alias("words"), total("q_passages").alias("q_passages"), total("h_passages").alias("h_passages"), total("covered").alias("covered"), F.expr("sum(n) div greatest(count(*), 1)").alias("words_per_text"))
 
 
-@query(f"""WITH {_DOC}, m AS (SELECT DISTINCT id, gram FROM g WHERE pos < 20),
+@query(f"""WITH {_DOC}, sn AS (SELECT id, {_WORDS.format('part')} AS l FROM (SELECT doc_id AS id, unnest(string_split(text, '.')) AS part FROM documents)), m AS (SELECT DISTINCT id, unnest({_GRAMS.format('l')}) AS gram FROM sn),
   gold AS (SELECT DISTINCT tag.id, tag.gram FROM tag JOIN run ON run.id = tag.id AND run.tag = tag.tag AND tag.pos >= run.first AND tag.pos < run.first + run.n WHERE run.words >= 6),
   a AS (SELECT count(*) AS n, count(is_q) AS good FROM m LEFT JOIN ref USING (gram)), b AS (SELECT count(*) AS n, count(m.gram) AS good FROM gold LEFT JOIN m ON m.id = gold.id AND m.gram = gold.gram)
 SELECT a.good AS p_num, a.n AS p_den, b.good AS r_num, b.n AS r_den FROM a, b""")
 def micro_pr(spark, sf_dir):
-    """Claimed: the grams of each text's first 20 windows. Precision against the whole corpus, recall
-    against passages."""
-    claimed = cp.grams(texts(spark, sf_dir), LATIN).where("pos < 20").select("id", "gram").distinct()
+    """Claimed: the grams of every sentence of each text. Precision against the whole corpus, recall
+    against passages, which run on over full stops."""
+    sentences = texts(spark, sf_dir).select("id", F.explode(F.split("text", r"\.")).alias("text"))
+    claimed = cp.grams(sentences, LATIN).select("id", "gram").distinct()
     gold = cp.region_gold(texts(spark, sf_dir), reference(spark, sf_dir), LATIN).select("id", "gram").distinct()
     precision = claimed.join(reference(spark, sf_dir), "gram", "left").agg(F.count("is_q").alias("p_num"), F.count("*").alias("p_den"))
     recall = gold.join(claimed.withColumn("hit", F.lit(1)), ["id", "gram"], "left").agg(F.count("hit").alias("r_num"), F.count("*").alias("r_den"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import cost, metrics, resume
+from ..operators import cost, metrics, remote, resume
 from .registry import answers, query, table
 
 # ------------------------------------------------------------ labels as gold and predictions
@@ -41,11 +41,31 @@ def macro_f1(spark, sf_dir):
     return scored.select("source", F.round("macro_f1", 9).alias("macro_f1"))
 
 
-@query(f"WITH {_COUNTS} SELECT source, round(max({_F1}) FILTER (label = '00'), 9) AS f1_00, round(max({_F1}) FILTER (label = '10'), 9) AS f1_10, round(max({_F1}) FILTER (label = 'absent'), 9) AS f1_absent, round(sum({_F1}) / 5, 9) AS macro_f1 FROM c GROUP BY source")
+KINDS = ["en", "de"]
+_SLICES = f"""{_PAIRS}, lab AS (SELECT unnest({LABELS}) AS label), sl AS (SELECT source, 'all' AS slice, g, p FROM pr UNION ALL SELECT source, lang, g, p FROM pr WHERE lang IN ('en', 'de')), every AS (SELECT DISTINCT source, slice, label FROM sl, lab),
+  c AS (SELECT source, slice, label, count(*) FILTER (g = label AND p = label) AS tp, count(*) FILTER (g <> label AND p = label) AS fp, count(*) FILTER (g = label AND p <> label) AS fn FROM every JOIN sl USING (source, slice) GROUP BY source, slice, label)"""
+_BY_LABEL = ", ".join(f"round(max({_F1}) FILTER (slice = 'all' AND label = '{x}'), 9) AS \"{{0}}{x}\"" for x in LABELS)
+
+
+def scorecard(spark, sf_dir):
+    """Languages stand for the kinds of source."""
+    scores = metrics.scorecard(pairs(spark, sf_dir), LABELS, KINDS, "source", "lang")
+    return scores.select("source", *(F.round(c, 9).alias(c) for c in scores.columns[1:]))
+
+
+@query(f"WITH {_SLICES} SELECT source, " + ", ".join(f"round(sum({_F1}) FILTER (slice = '{x}') / 5, 9) AS macro_f1_{x}" for x in ("all", *KINDS)) + f", {_BY_LABEL.replace('{0}', 'f1_')} FROM c GROUP BY source ORDER BY macro_f1_all DESC")
 def model_scorecard(spark, sf_dir):
-    scored = metrics.label_counts(pairs(spark, sf_dir), LABELS, ["source"]).withColumn("f1", metrics.f1())
-    of = lambda label: F.round(F.max(F.when(F.col("label") == label, F.col("f1"))), 9).alias(f"f1_{label}")
-    return scored.groupBy("source").agg(of("00"), of("10"), of("absent"), F.round(F.sum("f1") / F.count("*"), 9).alias("macro_f1"))
+    return scorecard(spark, sf_dir)
+
+
+@query(f"WITH {_SLICES} SELECT source, {_BY_LABEL.replace('{0}', '')} FROM c GROUP BY source")
+def label_matrix(spark, sf_dir):
+    return metrics.label_matrix(scorecard(spark, sf_dir), "source")
+
+
+@query(f"WITH {_PAIRS} SELECT source, doc_id, g, p FROM pr WHERE lang = 'de'")
+def flatten_pairs_of_kind(spark, sf_dir):
+    return metrics.of_kind(pairs(spark, sf_dir), "de", "lang").select("source", "doc_id", "g", "p")
 
 
 @query(f"WITH {_COUNTS}, m AS (SELECT source, sum({_F1}) / 5 AS m FROM c GROUP BY source) SELECT CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'small' WHEN source IN ('src3', 'src4') THEN 'large' ELSE 'Other' END AS family, round(avg(m), 9) AS mean_macro_f1 FROM m GROUP BY 1")
@@ -68,16 +88,26 @@ def verdict_confusion(spark, sf_dir):
     return pairs(spark, sf_dir).groupBy("lang", "g", "p").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_PAIRS}, k AS (SELECT lang, g, p, count(*) AS n FROM pr GROUP BY lang, g, p) SELECT lang, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (g = p), 0)::BIGINT AS agree, round(coalesce(sum(n) FILTER (g = p), 0)::DOUBLE / sum(n), 9) AS rate, string_agg(g || '|' || p || '=' || n, ',' ORDER BY g || '|' || p) AS confusion FROM k GROUP BY lang")
+def verdict_agreement(spark, sf_dir):
+    """The confusion as text, for a comparison of plain columns."""
+    line = F.array_join(F.transform(F.map_entries("confusion"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return metrics.agreement(pairs(spark, sf_dir), ["lang"]).select("lang", "total", "agree", F.round("rate", 9).alias("rate"), line.alias("confusion"))
+
+
 @query(f"WITH {_PAIRS} SELECT doc_id, g, p, substring(text, 1, 120) AS shown FROM pr JOIN documents USING (doc_id) WHERE g IS DISTINCT FROM p")
 def disagreements(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 120).alias("shown"))
     return pairs(spark, sf_dir).where(~F.col("g").eqNullSafe(F.col("p"))).join(docs, "doc_id").select("doc_id", "g", "p", "shown")
 
 
-@query("SELECT lang, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+_VERDICT = "CASE WHEN doc_id % 31 = 0 THEN 'odd' WHEN quality = 1 THEN 'good' WHEN toxic = 1 THEN 'na' ELSE 'bad' END"
+
+
+@query(f"SELECT lang, count(*) FILTER (v = 'good') AS good, count(*) FILTER (v = 'bad') AS bad, count(*) FILTER (v = 'na') AS na, count(*) FILTER (v = 'odd') AS other, count(*) FILTER (v <> 'odd') AS shown FROM (SELECT lang, {_VERDICT} AS v FROM labels JOIN documents USING (doc_id)) GROUP BY lang")
 def type_label_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return rows.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"), F.count("*").alias("n"))
+    return metrics.label_columns(rows.select("lang", F.expr(_VERDICT).alias("label")), ["lang"], ["good", "bad", "na"])
 
 
 @query("SELECT coalesce(lang, 'ALL') AS lang, count(*) FILTER (quality = 1) AS good, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
@@ -93,11 +123,9 @@ def model_type_pivot(spark, sf_dir):
     return rows.groupBy("source").agg(*map(cell, ("de", "en", "es", "fr")))
 
 
-@query("SELECT t.lang, count(d.doc_id) AS n FROM (VALUES ('de'), ('en'), ('es'), ('xx')) AS t(lang) LEFT JOIN documents d ON d.lang = t.lang GROUP BY t.lang")
+@query("SELECT lang, sum(n)::BIGINT AS n FROM (SELECT lang, 1 AS n FROM documents UNION ALL SELECT * FROM (VALUES ('de', 0), ('en', 0), ('es', 0), ('xx', 0))) GROUP BY lang")
 def span_type_counts(spark, sf_dir):
-    kinds = spark.createDataFrame([("de",), ("en",), ("es",), ("xx",)], "lang string")
-    found = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    return kinds.join(found, "lang", "left").select("lang", F.coalesce("n", F.lit(0)).alias("n"))
+    return metrics.type_counts(table(spark, sf_dir, "documents").select("lang"), ["de", "en", "es", "xx"], "lang")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (l = 1) AS ones, count(*) FILTER (l = 0) AS zeros, count(*) FILTER (l = -1) AS other FROM (SELECT CASE event_type WHEN 'x' THEN -1 ELSE CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 3 = 1 THEN 0 ELSE -1 END END AS l FROM events)")
@@ -164,6 +192,14 @@ def merge_latest(spark, sf_dir):
     return resume.merge_latest(done, done.where("id % 2 = 0").withColumn("answer", F.lit("new"))).select("id", "answer")
 
 
+@query(f"WITH {_TURNS} SELECT -id AS place, id, CASE WHEN id % 2 = 0 THEN 'new' ELSE answer END AS answer FROM an ORDER BY place")
+def merge_in_order(spark, sf_dir):
+    """The questions' order is that of falling ids here."""
+    prompts, done = turns(spark, sf_dir)
+    done = done.select("id", "answer")
+    return resume.merge_in_order(prompts.select((-F.col("id")).alias("place"), "id"), done, done.where("id % 2 = 0").withColumn("answer", F.lit("new")))
+
+
 @query(f"WITH {_TURNS} SELECT CASE WHEN d.n >= p.n THEN 'complete' ELSE 'in_progress' END AS status, p.n AS n_total, d.n AS n_completed, d.f AS n_failed FROM (SELECT count(*) AS n FROM u) p, (SELECT count(*) AS n, count(*) FILTER (coalesce(error, '') <> '') AS f FROM an) d")
 def snapshot_header(spark, sf_dir):
     prompts, done = turns(spark, sf_dir)
@@ -248,6 +284,12 @@ def latency_stats(spark, sf_dir):
     return usage(spark, sf_dir).select("model", "n_calls", "mean_s")
 
 
+@query("SELECT event_type AS model, count(*) AS n_calls, count(*) FILTER (event_id % 17 = 0) AS errors, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 1) AS wall_s, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / count(*), 2) AS s_per_prompt, round(avg(value), 2) AS mean_call_s FROM events GROUP BY event_type")
+def run_metrics(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), "ts", "value", F.when(F.col("event_id") % 17 == 0, "ERROR: x").otherwise("ok").alias("answer"))
+    return cost.run_metrics(e, ["model"])
+
+
 @query(f"WITH {_SUMS} SELECT model, coalesce(p_in, -1) AS p_in FROM su LEFT JOIN {_PRICES} USING (model)")
 def dim_lookup(spark, sf_dir):
     return priced(spark, sf_dir).select("model", F.coalesce("p_in", F.lit(-1.0)).alias("p_in"))
@@ -270,7 +312,13 @@ def replay_responses(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).join(replies, "id").select("id", "model", "raw")
 
 
-@query(f"WITH {_REPLIES} SELECT id, model, try_cast(json_extract_string(raw, '$.k') AS INTEGER) AS difficulty FROM re")
+_K = "event_id % 11"
+
+
+@query(f"SELECT event_id AS id, CASE WHEN {_K} > 2 THEN event_type END AS category, CASE WHEN {_K} > 2 THEN event_id % 5 + 1 END::INTEGER AS difficulty, CASE WHEN {_K} > 2 THEN event_id % 4 + 1 END::INTEGER AS divergence, CASE {_K} WHEN 0 THEN 'ValueError: no JSON in the reply' WHEN 1 THEN 'ValueError: no divergence in the reply' WHEN 2 THEN 'ValueError: difficulty out of range' END AS error FROM events")
 def label_questions(spark, sf_dir):
-    parsed = F.from_json(tx.find_json(F.col("props")), "k int")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("model"), parsed["k"].alias("difficulty"))
+    """Replies of three axes, some without JSON, an axis short, or out of range."""
+    k, e = F.col("event_id") % 11, F.col("event_id")
+    axes = F.struct(F.col("event_type").alias("category"), F.when(k == 2, 9).otherwise(e % 5 + 1).alias("difficulty"), F.when(k != 1, e % 4 + 1).alias("divergence"))
+    raw = F.when(k == 0, "no idea").when(k == 3, F.concat(F.lit("```json\n"), F.to_json(axes), F.lit("\n```"))).otherwise(F.to_json(axes))
+    return table(spark, sf_dir, "events").select(e.alias("id"), remote.question_labels(raw).alias("x")).select("id", "x.*")

@@ -87,8 +87,6 @@ def sorted_spans(spark, sf_dir):
     return grouped.select("user_id", F.array_join(F.transform("x", lambda r: r["event_id"].cast("string")), ",").alias("ids"))
 
 
-@query("SELECT source AS model, round(avg(n_chars) FILTER (lang = 'en'), 6) AS en, round(avg(n_chars) FILTER (lang = 'de'), 6) AS de FROM documents GROUP BY source")
-def label_matrix(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("model"), F.concat(F.lit("f1_"), F.col("lang")).alias("label"), "n_chars")
-    wide = docs.groupBy("model").pivot("label", ["f1_en", "f1_de"]).agg(F.round(F.avg("n_chars"), 6))
-    return wide.select("model", *(F.col(c).alias(c.removeprefix("f1_")) for c in wide.columns if c.startswith("f1_")))
+@query("SELECT doc_id AS id, left(text, 10) AS head, right(text, 10) AS tail FROM documents")
+def boundary_preview(spark, sf_dir):
+    return texts(spark, sf_dir).select("id", *review.preview(F.col("text")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import review
 from ..operators import spans as sp
 from .registry import answers, query, table, texts
 
@@ -128,6 +129,11 @@ def render_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.render_html(F.replace("html", F.lit("**"), F.lit(""))).alias("shown"))
 
 
+@query("SELECT page_id, regexp_replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(page)', '<mark>\\1</mark>', 'gi') AS shown FROM (SELECT page_id, replace(html, '**', '') AS html FROM pages)")
+def highlight_query(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.highlighted(tx.render_html(F.replace("html", F.lit("**"), F.lit(""))), "PAGE").alias("shown"))
+
+
 @query("SELECT doc_id AS id, array_to_string(CASE WHEN len(w) > 50 THEN w[len(w)-49:len(w)] ELSE w END, ' ') AS tail FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def left_truncate(spark, sf_dir):
     return texts(spark, sf_dir).select("id", F.array_join(tx.keep_tail(F.split("text", " "), 50), " ").alias("tail"))
@@ -147,10 +153,14 @@ def chat_messages(spark, sf_dir):
     return answers(spark, sf_dir).select("id", messages.alias("m")).select("id", F.size("m").alias("n_messages"), F.element_at("m", -1)["content"].alias("last_content"))
 
 
-@query("SELECT doc_id AS id, source AS model FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license') OR contains(lower(lang), 'license')")
+@query("SELECT doc_id AS id, source AS model FROM documents WHERE contains(lower(text), 'license') OR contains(doc_id::VARCHAR, 'license') OR contains(lower(lang), 'license')")
 def search_answers(spark, sf_dir):
-    wanted = "license"
-    return answers(spark, sf_dir).where(F.lower("answer").contains(wanted) | F.lower("model").contains(wanted) | F.lower("prompt").contains(wanted)).select("id", "model")
+    return review.search(answers(spark, sf_dir), " License ", ["id", "prompt", "answer"]).select("id", "model")
+
+
+@query("SELECT doc_id AS id, source AS model FROM documents")
+def search_nothing(spark, sf_dir):
+    return review.search(answers(spark, sf_dir), "  ", ["id", "prompt", "answer"]).select("id", "model")
 
 
 _REVIEW = "rv AS (SELECT event_id, user_id AS prompt_id, CASE event_id % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'reject' END AS status FROM events)"

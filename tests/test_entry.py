@@ -18,7 +18,7 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["passage_scan", "f1_per_label", "resume_drop_errors", "cost_simple", "fix_span_indices", "export_renumbered"])
+@pytest.mark.parametrize("name", ["passage_scan", "f1_per_label", "resume_drop_errors", "cost_simple", "fix_span_indices", "export_renumbered", "model_scorecard", "label_matrix", "verdict_agreement", "type_label_counts", "span_type_counts", "merge_in_order", "run_metrics", "label_questions", "search_answers", "boundary_preview", "substring_exact", "exact_rowwise", "micro_pr"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
@@ -26,5 +26,5 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
-    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    want = con.sql(f"SELECT {', '.join(f'"{c}"' for c in got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
