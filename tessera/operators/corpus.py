@@ -37,11 +37,14 @@ def tag_grams(found: DataFrame, reference: DataFrame) -> DataFrame:
     return found.join(reference, "gram").withColumn("tag", F.when(F.col("is_q") == 1, "q").otherwise("h")).select("id", "pos", "gram", "tag")
 
 
+def islands(tagged: DataFrame) -> DataFrame:
+    """``tagged`` with a number, ``island``, that neighbouring positions of one tag share."""
+    return tagged.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("id", "tag").orderBy("pos")))
+
+
 def tag_runs(tagged: DataFrame) -> DataFrame:
     """Maximal runs of neighbouring positions of one tag: (id, tag, first, n, words)."""
-    order = Window.partitionBy("id", "tag").orderBy("pos")
-    island = tagged.withColumn("island", F.col("pos") - F.row_number().over(order))
-    return island.groupBy("id", "tag", "island").agg(F.min("pos").alias("first"), F.count("*").alias("n")).withColumn("words", F.col("n") + K - 1).drop("island")
+    return islands(tagged).groupBy("id", "tag", "island").agg(F.min("pos").alias("first"), F.count("*").alias("n")).withColumn("words", F.col("n") + K - 1).drop("island")
 
 
 def passage_scan(texts: DataFrame, reference: DataFrame, spec: tx.NormSpec = tx.ARABIC, least: int = LEAST) -> DataFrame:
@@ -51,11 +54,10 @@ def passage_scan(texts: DataFrame, reference: DataFrame, spec: tx.NormSpec = tx.
 
 
 def region_gold(texts: DataFrame, reference: DataFrame, spec: tx.NormSpec = tx.ARABIC, least: int = LEAST) -> DataFrame:
-    """Distinct (id, tag, gram) inside passages."""
-    tagged = tag_grams(grams(texts, spec), reference)
-    runs = tag_runs(tagged).where(F.col("words") >= least)
-    inside = tagged.join(runs.select("id", "tag", "first", "n"), ["id", "tag"]).where("pos >= first and pos < first + n")
-    return inside.select("id", "tag", "gram").distinct()
+    """Distinct (id, tag, gram) inside passages: one scan, one shuffle by (id, tag) for both windows."""
+    size = F.count("*").over(Window.partitionBy("id", "tag", "island"))
+    tagged = islands(tag_grams(grams(texts, spec), reference)).withColumn("n", size)
+    return tagged.where(F.col("n") + K - 1 >= least).select("id", "tag", "gram").distinct()
 
 
 def longest_run(texts: DataFrame, reference: DataFrame, corpus: str, spec: tx.NormSpec = tx.ARABIC) -> DataFrame:
