@@ -9,6 +9,8 @@ fingerprint of the bytes that all the windows naming it on one side hold. (Any o
 equal beginnings side by side serves a merge scan; a fingerprint's is cheaper than the bytes'.) A new
 batch's array is merge-scanned against its own and each existing level; levels of equal size merge,
 so a suffix is rewritten log2(batches) times. A suffix whose fingerprint is met again is a candidate.
+With two lengths, the longer one is sought in what the shorter one would cut: a repeated string's
+own windows are repeats, so none is lost.
 
 Candidates whose windows' bytes are all the same are repeats as they are. For the rest, one of each
 kind is read from its text, and its windows are compared one by one. Removed are the bytes of every
@@ -16,9 +18,10 @@ window with an equal. Fingerprints are 64 bits; bytes of two suffixes count as t
 them agree.
 
 Scale. Texts are read to name suffixes, at the end, and in between for documents with candidates that
-differ (a bit set of fixed size, then an exact join). A hot string's suffixes are counted before they
-meet; joins on a fingerprint have a written table on either side, so that Spark can split a hot one;
-and what differs under one fingerprint ``HOT`` times or more is spread by window.
+differ or with long runs (a bit set of fixed size, then an exact join). A hot string's suffixes are
+counted before they meet; joins on a fingerprint have a written table on either side, so that Spark
+can split a hot one; and what differs under one fingerprint ``HOT`` times or more is spread by window.
+The two semi-joins of suffixes hash one shuffle partition's distinct fingerprints at a time.
 
 Defined cases. Null or short text: nothing removed. Rows with the same doc_id, and repeated rows, are
 documents of their own (a repeated row is a copy of the other). Matches never cross documents. Cut
@@ -35,9 +38,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .core import Hashes, Stage, U, bloom, flat, mix, rolling, slices, whole_groups
+from .core import Hashes, Stage, U, bloom, flat, mix, rolling, slices, thinned, whole_groups
 
 LENGTH = 400
 #: Shorter than 50 words of prose are in any of the languages at hand (a word and its space have six
@@ -45,6 +47,10 @@ LENGTH = 400
 PASSAGE = 240
 HOT = 4096
 BITS = 1 << 24
+#: So many bytes of text at a time: what is worked out for each then stays in the processor's cache.
+NEAR = 1 << 16
+#: Dictionaries of values that hardly repeat cost time and save nothing.
+PLAIN = {"parquet.enable.dictionary#key": "false", "parquet.enable.dictionary#digest": "false"}
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
@@ -60,17 +66,18 @@ class Shape:
         self.reach = self.gram + self.half
 
 
-def row_ids(rows: pa.RecordBatch, hashes: Hashes, offsets: np.ndarray) -> np.ndarray:
-    """An id for each row, of its doc_id and its bytes."""
-    doc = rows.column("doc_id")
-    number = doc.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-    return mix(hashes(offsets[:-1], offsets[1:]) + mix(number + U(1))).view(np.int64)
+def with_ids(docs: DataFrame) -> DataFrame:
+    """The rows with ``rid``, an id of doc_id and text."""
+    return docs.withColumn("rid", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
 
 
-def named_suffixes(data: np.ndarray, offsets: np.ndarray, hashes: Hashes, shape: Shape):
+def named_suffixes(data: np.ndarray, offsets: np.ndarray, hashes: Hashes, shape: Shape, begin: np.ndarray | None = None, end: np.ndarray | None = None):
     """(row, lo, hi, fingerprint, digest): the windows that start in [lo, hi] name one suffix and
-    hold its fingerprint's bytes; the digest is of all their bytes and of where the suffix is."""
-    count = np.maximum(np.diff(offsets) - shape.length + 1, 0)
+    hold its fingerprint's bytes; the digest is of all their bytes and of where the suffix is.
+    ``begin`` and ``end``: the stretches of data whose windows are meant, in order, apart from each
+    other and each in one row (by default, the rows)."""
+    begin, end = (offsets[:-1], offsets[1:]) if begin is None else (begin, end)
+    count = np.maximum(end - begin - shape.length + 1, 0)
     if not count.sum():
         empty = np.empty(0, np.int64)
         return empty, empty, empty, empty, empty
@@ -82,7 +89,7 @@ def named_suffixes(data: np.ndarray, offsets: np.ndarray, hashes: Hashes, shape:
         least, width = np.minimum(least[:-width], least[width:]), width * 2
     rest = shape.span - width
     least = np.minimum(least[: len(least) - rest], least[rest:])
-    starts = np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    starts = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     anchor = (least[starts] & U(0xFFFFFFFF)).astype(np.int64)
     right = anchor - starts < shape.half
     new = np.ones(len(starts), bool)
@@ -98,21 +105,27 @@ def named_suffixes(data: np.ndarray, offsets: np.ndarray, hashes: Hashes, shape:
 
 
 def suffixes(docs: DataFrame, batches: int, shape: Shape) -> DataFrame:
-    """Named suffixes of all texts, dealt to batches by document."""
+    """Named suffixes of all texts (text, rid), dealt to batches by document; with a column ``runs``,
+    of the windows inside those alone."""
+    inside = "runs" in docs.columns
 
     def run(parts):
-        for rows, data, offsets in slices(parts, "text"):
-            hashes = Hashes(data)
-            row, lo, hi, fingerprint, digest = named_suffixes(data, offsets, hashes, shape)
-            rid = row_ids(rows, hashes, offsets)[row] if len(row) else np.empty(0, np.int64)
+        for rows, data, offsets in slices(parts, "text", NEAR):
+            stretches = ()
+            if inside:
+                runs = rows.column("runs")
+                base = np.repeat(offsets[:-1], pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+                stretches = [base + runs.flatten().field(k).to_numpy() for k in ("start", "stop")]
+            row, lo, hi, fingerprint, digest = named_suffixes(data, offsets, Hashes(data), shape, *stretches)
+            rid = rows.column("rid").to_numpy()[row]
             yield pa.RecordBatch.from_arrays([pa.array(fingerprint), pa.array(digest), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array((mix(rid.view(U)) % U(batches)).astype(np.int32))], names=["key", "digest", "rid", "lo", "hi", "batch"])
 
-    return docs.mapInArrow(run, "key long, digest long, rid long, lo int, hi int, batch int")
+    return docs.select("text", "rid", *["runs"] * inside).mapInArrow(run, "key long, digest long, rid long, lo int, hi int, batch int")
 
 
 class IndexFamily:
     """Suffix arrays of batches seen so far, as levels of doubling size. A level has one row for each
-    fingerprint and digest, in order of the fingerprint, and how many suffixes have them."""
+    fingerprint, in order, and how many suffixes have it."""
 
     def __init__(self, stage: Stage):
         self.stage, self.levels, self.made = stage, [], 0
@@ -120,47 +133,29 @@ class IndexFamily:
     def _array(self, rows: DataFrame) -> tuple[str, DataFrame]:
         self.made += 1
         name = f"level-{self.made}"
-        return name, self.stage.write(rows.sortWithinPartitions("key"), name)
+        return name, self.stage.write(rows.sortWithinPartitions("key"), name, **PLAIN)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Takes in a batch (key, digest); gives the fingerprints of it that are met twice or more,
-        in it or in an existing level."""
-        name, array = self._array(batch.groupBy("key", "digest").agg(F.count("*").alias("n")))
-        met = array.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+        """Takes in a batch (key); gives the fingerprints of it that are met twice or more, in it or
+        in an existing level (some again for each of these). Levels of equal size merge first; after
+        the last batch, none does, since nothing will be scanned against them."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, one, a), (_, other, b) = self.levels.pop(), self.levels.pop()
+            merged, both = self._array(a.unionByName(b).groupBy("key").agg(F.sum("n").alias("n")))
+            self.stage.drop(one, other)
+            self.levels.append((2 * size, merged, both))
+        name, array = self._array(batch.groupBy("key").agg(F.count("*").alias("n")))
+        met = array.where("n > 1").select("key")
         for _, _, level in self.levels:
             met = met.unionByName(array.select("key").join(level.select("key"), "key", "left_semi"))
-        met = self.stage.write(met.distinct(), f"met-{self.made}")
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            _, other, level = self.levels.pop()
-            merged, both = self._array(array.unionByName(level).groupBy("key", "digest").agg(F.sum("n").alias("n")))
-            self.stage.drop(name, other)
-            name, array, size = merged, both, size * 2
-        self.levels.append((size, name, array))
+        met = self.stage.write(met, f"met-{self.made}")
+        self.levels.append((1, name, array))
         return met
 
     def close(self) -> None:
         self.stage.drop(*(name for _, name, _ in self.levels))
 
 
-def _texts(docs: DataFrame, bits: np.ndarray, inside: bool = True, then=None, schema=None) -> DataFrame:
-    """The rows, with ``rid``, whose id may be in the set (or, inside=False, the others); inside, then
-    and schema as for thinned()."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(parts):
-        table = shared.value
-        for rows, data, offsets in slices(parts, "text"):
-            rid = row_ids(rows, Hashes(data), offsets)
-            slot = rid % (len(table) * 64)
-            hit = (table[slot // 64] >> (slot % 64)) & 1 == 1
-            yield rows.append_column("rid", pa.array(rid)).filter(pa.array(hit if inside else ~hit))
-
-    if then is not None:
-        return docs.mapInArrow(lambda parts: then(run(parts)), schema)
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("rid", T.LongType())]))
-
-
 def _contexts(parts, length: int):
     """The bytes of all windows of each asked suffix; parts: texts with the list of them."""
     for rows, data, offsets in slices(parts, "text"):
@@ -227,25 +222,26 @@ def _spread(parts, length: int):
 
 
 def repeated_spans(docs: DataFrame, stage: Stage, batches: int, length: int) -> DataFrame:
-    """(rid, start, stop): byte spans whose union is what is to be removed."""
-    named = stage.write(suffixes(docs, batches, Shape(length)), "suffixes")
+    """(rid, start, stop): byte spans whose union is what is to be removed of docs (text, rid; with
+    ``runs``, of the windows inside those)."""
+    named = stage.write(suffixes(docs, batches, Shape(length)), "suffixes", **PLAIN)
     family = IndexFamily(stage)
     met = None
     for b in range(batches):
-        found = family.add(named.where(F.col("batch") == b).select("key", "digest"))
+        found = family.add(named.where(F.col("batch") == b).select("key"))
         met = found if met is None else met.unionByName(found)
     family.close()
     met = stage.write(met.distinct(), "met")
-    candidates = stage.write(named.drop("batch").join(met, "key", "left_semi"), "candidates")
+    candidates = stage.write(named.drop("batch").join(met.hint("shuffle_hash"), "key", "left_semi"), "candidates")
     stage.drop("suffixes", "met", *(f"met-{i}" for i in range(1, 2 * batches)))
-    kinds = candidates.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one"))
+    kinds = candidates.groupBy("key", "digest").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("rid", "lo", "hi")))  # all three of one row
     kinds = stage.write(kinds, "kinds")
     same = kinds.where("n > 1").select("key", "digest")
-    whole = candidates.join(same, ["key", "digest"], "left_semi").select("rid", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("stop"))
+    whole = candidates.join(same.hint("shuffle_hash"), ["key", "digest"], "left_semi").select("rid", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("stop"))
     differ = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max((F.col("n") == 1).cast("int")).alias("open")).where("kinds > 1 and open = 1")
     differ = stage.write(differ.select("key", "kinds"), "differ")
-    asked = stage.write(kinds.join(differ, "key").select("key", "digest", (F.col("n") == 1).alias("single"), "one.*", (F.col("kinds") > HOT).alias("hot")), "asked")
-    texts = _texts(docs.select("doc_id", "text"), bloom(asked, "rid", BITS)).drop("doc_id")
+    asked = stage.write(kinds.join(differ, "key").select("key", "digest", (F.col("n") == 1).alias("single"), "rid", "lo", "hi", (F.col("kinds") > HOT).alias("hot")), "asked")
+    texts = thinned(docs.select("text", "rid"), "rid", bloom(asked, "rid", BITS))
     for_text = asked.groupBy("rid").agg(F.collect_list(F.struct("key", "digest", "single", "lo", "hi")).alias("asked"))
     contexts = texts.join(for_text.hint("merge"), "rid").mapInArrow(lambda parts: _contexts(parts, length), CONTEXT)
     out = whole
@@ -264,29 +260,58 @@ def repeated_spans(docs: DataFrame, stage: Stage, batches: int, length: int) ->
     return out.unionByName(compared)
 
 
-def cut(body: np.ndarray, spans: list[dict] | None) -> tuple[np.ndarray, int]:
-    """(the bytes outside all spans, the number of removed runs)."""
-    if not spans:
-        return body, 0
-    edge = np.zeros(len(body) + 1, np.int64)
-    np.add.at(edge, [x["start"] for x in spans], 1)
-    np.add.at(edge, [x["stop"] for x in spans], -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    return body[~gone], int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+def cut(body: np.ndarray, runs: list[dict] | None) -> np.ndarray:
+    """The bytes outside all runs."""
+    if not runs:
+        return body
+    kept = np.ones(len(body), bool)
+    for x in runs:
+        kept[x["start"] : x["stop"]] = False
+    return body[kept]
 
 
-def with_spans(docs: DataFrame, batches: int, lengths: tuple[int, ...]) -> tuple[DataFrame, np.ndarray]:
-    """(rows that may hold repeats, with ``spans``: start, stop and of which length; the bit set of
-    their ids) of docs (doc_id long, text string and any other columns but rid, spans)."""
-    stage = Stage(docs.sparkSession, "suffix")
-    spans = None
-    for length in lengths:
-        own = stage.write(repeated_spans(docs.select("doc_id", "text"), stage, batches, length).withColumn("length", F.lit(length)), f"spans-{length}")
-        stage.drop("candidates", "kinds", "differ", "asked", "hot", "contexts", "spread", "twice")
-        spans = own if spans is None else spans.unionByName(own)
-    bits = bloom(spans, "rid", BITS)
-    by_row = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop", "length")).alias("spans"))
-    return _texts(docs, bits).join(by_row.hint("merge"), "rid", "left").drop("rid"), bits
+def runs_by_row(spans: DataFrame) -> DataFrame:
+    """(rid, runs): the maximal runs, in order, that spans (rid, start, stop) cover."""
+
+    def run(parts):
+        for rows in parts:
+            if not rows.num_rows:
+                continue
+            found = rows.column("spans")
+            row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+            begin, end = (found.flatten().field(k).to_numpy() + (row << 32) for k in ("start", "stop"))  # texts are under 2 GB
+            order = np.argsort(begin, kind="stable")
+            begin, end = begin[order], np.maximum.accumulate(end[order])
+            first = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+            begin, end = begin[first], end[np.append(first[1:], len(end)) - 1]
+            row = begin >> 32
+            at = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
+            runs = pa.StructArray.from_arrays([pa.array(x - (row << 32)) for x in (begin, end)], names=["start", "stop"])
+            yield pa.RecordBatch.from_arrays([rows.column("rid"), pa.ListArray.from_arrays(pa.array(at), runs)], names=["rid", "runs"])
+
+    by_row = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return by_row.mapInArrow(run, "rid long, runs array<struct<start: long, stop: long>>")
+
+
+def with_runs(docs: DataFrame, batches: int, lengths: set[int]) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(docs with ``rid``; those that may hold repeats, with what each length would cut as
+    ``runs_<length>``: start, stop; the bit set of their ids) of docs (doc_id long, text string and
+    any other columns but those). All windows of a repeated string are repeats, too: of a longer
+    length, only the runs of the next shorter one are looked at that are long enough."""
+    stage, docs = Stage(docs.sparkSession, "suffix"), with_ids(docs)
+    texts, found = docs.select("text", "rid"), {}
+    meant = texts
+    for length in sorted(lengths):
+        if found:
+            runs = runs.select("rid", F.filter("runs", lambda x: x["stop"] - x["start"] >= length).alias("runs")).where(F.size("runs") > 0)
+            meant = stage.write(thinned(texts, "rid", bloom(runs, "rid", BITS)).join(runs.hint("merge"), "rid"), "meant")
+        runs = found[length] = stage.write(runs_by_row(repeated_spans(meant, stage, batches, length)), f"runs-{length}")
+        stage.drop("candidates", "kinds", "differ", "asked", "hot", "contexts", "spread", "twice", "meant")
+    bits = bloom(found[min(lengths)], "rid", BITS)
+    hit = thinned(docs, "rid", bits)
+    for length, runs in found.items():
+        hit = hit.join(runs.withColumnRenamed("runs", f"runs_{length}").hint("merge"), "rid", "left")
+    return docs, hit, bits
 
 
 def repeats(docs: DataFrame, text: str = "text", batches: int = 4, length: int = LENGTH, passage: int | None = None) -> DataFrame:
@@ -298,21 +323,19 @@ def repeats(docs: DataFrame, text: str = "text", batches: int = 4, length: int =
 
     def digest(parts):
         for rows, data, offsets in slices(parts, "text"):
-            spans = rows.column("spans").to_pylist() if "spans" in rows.schema.names else [None] * rows.num_rows
+            own, other = (rows.column(f"runs_{n}").to_pylist() if f"runs_{n}" in rows.schema.names else [None] * rows.num_rows for n in (length, passage))
             out = []
-            for r, (doc, own) in enumerate(zip(rows.column("doc_id").to_pylist(), spans)):
+            for r, doc in enumerate(rows.column("doc_id").to_pylist()):
                 body = data[offsets[r] : offsets[r + 1]]
-                rest, runs = cut(body, [x for x in own or () if x["length"] == length])
-                kept = rest.tobytes()
+                runs, kept = len(own[r] or ()), cut(body, own[r]).tobytes()
                 out.append((doc, len(body), len(body) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if runs else None))
                 if passage:
-                    rest, runs = cut(body, [x for x in own or () if x["length"] == passage])
-                    out[-1] += (len(body) - len(rest), runs)
+                    out[-1] += (sum(x["stop"] - x["start"] for x in other[r] or ()), len(other[r] or ()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in result.split(", ")])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    hit, bits = with_spans(docs, batches, tuple({length: 0, (passage or length): 0}))
-    return hit.mapInArrow(digest, result).unionByName(_texts(docs, bits, inside=False, then=digest, schema=result))
+    docs, hit, bits = with_runs(docs, batches, {length, passage or length})
+    return hit.mapInArrow(digest, result).unionByName(thinned(docs, "rid", bits, inside=False, then=digest, schema=result))
 
 
 def without_repeats(docs: DataFrame, batches: int = 4, length: int = LENGTH) -> DataFrame:
@@ -322,10 +345,10 @@ def without_repeats(docs: DataFrame, batches: int = 4, length: int = LENGTH) ->
     def strip(parts):
         for rows, data, offsets in slices(parts, "text"):
             texts = []
-            for r, own in enumerate(rows.column("spans").to_pylist()):
-                texts.append(cut(data[offsets[r] : offsets[r + 1]], own)[0].tobytes().decode("utf-8", "ignore"))
+            for r, own in enumerate(rows.column(f"runs_{length}").to_pylist()):
+                texts.append(cut(data[offsets[r] : offsets[r + 1]], own).tobytes().decode("utf-8", "ignore"))
             fresh = pc.if_else(pc.is_valid(rows.column("text")), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([fresh if f.name == "text" else rows.column(f.name) for f in schema], names=schema.names)
 
-    hit, bits = with_spans(docs, batches, (length,))
-    return hit.mapInArrow(strip, schema).unionByName(_texts(docs, bits, inside=False).drop("rid"))
+    docs, hit, bits = with_runs(docs, batches, {length})
+    return hit.mapInArrow(strip, schema).unionByName(thinned(docs, "rid", bits, inside=False).drop("rid"))

@@ -549,3 +549,30 @@ def test_very_long_conversation(spark):
 def test_licences_with_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "MIT License", 9)], "doc_id long, text string, n_words int").withColumns({"labels": F.lit(1), "score": F.lit("x")})
     match(license_scan.scan(frame).select("doc_id", "n_words", "base_labels"), [(1, 2, "mit")])
+
+
+def test_a_longer_length_is_sought_in_the_runs_of_the_shorter_one(spark, monkeypatch):
+    """Repeats that overlap, touch and stand at the ends of texts; the second length sees their bytes alone."""
+    rng = random.Random(44)
+    a, b, c = ("".join(rng.choice("abcdefghij é") for _ in range(n)) for n in (150, 90, 64))
+
+    def odd(n):
+        return "".join(rng.choice("klmnopqrst ü") for _ in range(n))
+
+    bodies = [a + b, b + a, a, odd(50) + b + odd(200), odd(300) + a[:120] + odd(1) + a[20:], b[:70] + odd(9) + c, c + odd(400) + c, odd(900), odd(30) + a + c + odd(30), odd(2000), "", None]
+    rows = list(enumerate(bodies)) + [(3, bodies[3]), (None, bodies[4])]
+    sought, method = {}, suffix_dedup.suffixes
+
+    def seen(docs, batches, shape):
+        lists = docs.select("runs").collect() if "runs" in docs.columns else None
+        sought[shape.length] = sum(x.stop - x.start for r in lists for x in r.runs) if lists is not None else None
+        return method(docs, batches, shape)
+
+    monkeypatch.setattr(suffix_dedup, "suffixes", seen)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for length, passage in ((100, 60), (60, 100)):
+        sought.clear()
+        got = suffix_dedup.repeats(frame, length=length, passage=passage)
+        match(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), repeats_brute(rows, length))
+        match(got.select("doc_id", "n_bytes", "passage_removed", "passage_spans"), [(d, n, gone, runs) for d, n, gone, runs, _ in repeats_brute(rows, passage)])
+        assert sought[60] is None and 0 < sought[100] < sum(len((t or "").encode()) for _, t in rows) / 2
